@@ -6,6 +6,8 @@ import importlib
 
 _MODULES = {
     "exact_dedup": ("op8_exact_dedup", "OP8_SQL"),
+    "bpe": ("op9_bpe", None),
+    "token_counts": ("op10_token_counts", None),
 }
 
 
