@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "language_id": ("op4_language_id", None),
     "secrets": ("op6_secrets", None),
     "packing": ("op7_packing", None),
     "exact_dedup": ("op8_exact_dedup", "OP8_SQL"),
