@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "warc": ("op2_warc", "OP2_SQL"),
+    "edit_embedding": ("op3_fingerprints", None),
     "language_id": ("op4_language_id", None),
     "secrets": ("op6_secrets", None),
     "packing": ("op7_packing", None),
