@@ -8,6 +8,7 @@ _MODULES = {
     "warc": ("op2_warc", "OP2_SQL"),
     "edit_embedding": ("op3_fingerprints", None),
     "language_id": ("op4_language_id", None),
+    "jaccard_join": ("op5_jaccard_join", None),
     "secrets": ("op6_secrets", None),
     "packing": ("op7_packing", None),
     "exact_dedup": ("op8_exact_dedup", "OP8_SQL"),
