@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "substring_dedup": ("op1_substring_dedup", None),
     "warc": ("op2_warc", "OP2_SQL"),
     "edit_embedding": ("op3_fingerprints", None),
     "language_id": ("op4_language_id", None),
