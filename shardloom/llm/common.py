@@ -49,3 +49,14 @@ def ascii_lower(col):
     """Lower-cases A-Z only; where every character is ASCII, lower() does the same and is faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
+
+
+#: Rows up to which a side of narrow keys is broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys are not among the dropped ones, which must be a written table of narrow keys."""
+    few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    on = [rows[k].eqNullSafe(dropped[k]) for k in keys]
+    return rows.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), on, "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import small_batches, table, without, written
 from .components import components
 from .hashing import mix, ngram_hashes, word_hashes
 
@@ -116,8 +116,8 @@ def _verify(key, members, words: int, least: float):
     return rows, links @ copies, _labels(links, rows)
 
 
-def near_classes(docs: DataFrame, text="text", words: int = WORDS, least: float = LEAST, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """docs' rows and columns with _row, _grams (size of the n-gram set), _class and _links.
+def near_classes(docs: DataFrame, text="text", words: int = WORDS, least: float = LEAST, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(docs with _row, written; for each _row: _grams, the size of its n-gram set, _class and _links).
 
     _row numbers the rows. Two rows are linked if their sets' Jaccard similarity is at least `least`;
     _links counts the other rows so linked, _class is the least _row of the component of links. A text
@@ -178,23 +178,27 @@ def near_classes(docs: DataFrame, text="text", words: int = WORDS, least: float
     counts = found.groupBy("_rep").agg(F.sum("n").alias("n"))
     by_set = sets.select("_set", "_rep", "_copies").join(counts, "_rep", "left").join(linked_to.withColumnRenamed("node", "_rep"), "_rep", "left")
     by_set = written(by_set.select(F.col("_set").alias("_of"), F.coalesce("label", "_rep").alias("_class"), (F.coalesce("n", F.lit(0).cast("bigint")) + F.col("_copies") - 1).alias("_links")), "classes")
-    known = rows.drop("_bands").filter("_set is not null").join(by_set, F.col("_set") == F.col("_of")).drop("_of")
-    alone = rows.drop("_bands").filter("_set is null").withColumn("_class", F.col("_row")).withColumn("_links", F.lit(0).cast("bigint"))
-    return known.unionByName(alone).drop("_set")
+    narrow = rows.select("_row", "_grams", "_set")
+    known = narrow.filter("_set is not null").join(by_set, F.col("_set") == F.col("_of")).select("_row", "_grams", "_class", "_links")
+    alone = narrow.filter("_set is null").select("_row", "_grams", F.col("_row").alias("_class"), F.lit(0).cast("bigint").alias("_links"))
+    return rows.select(*docs.columns, "_row"), known.unionByName(alone)
 
 
 def jaccard_join(docs: DataFrame, id="doc_id", text="text", **options) -> DataFrame:
     """One row per row of docs: id, class_id, n_links, n_grams; class_id is the least id of the component (null if it has null ids only)."""
-    rows = written(near_classes(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", **options).drop("text"), "near")
-    least = written(rows.groupBy("_class").agg(F.min("id").alias("class_id")), "class-ids")
-    return rows.join(least, "_class").select(F.col("id").alias(id), "class_id", F.col("_links").alias("n_links"), F.col("_grams").alias("n_grams"))
+    rows, classes = near_classes(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), **options)
+    near = written(rows.select("id", "_row").join(classes, "_row"), "near")
+    least = written(near.groupBy("_class").agg(F.min("id").alias("class_id")), "class-ids")
+    return near.join(least, "_class").select(F.col("id").alias(id), "class_id", F.col("_links").alias("n_links"), F.col("_grams").alias("n_grams"))
 
 
 def one_of_each(docs: DataFrame, id="doc_id", text="text", **options) -> DataFrame:
     """docs with one row of each component: that of the least id, of repeated ones the first. Rows without n-grams all stay."""
-    rows = near_classes(docs, text, **options)
-    first = rows.groupBy("_class").agg(F.min(F.struct(F.col(id).isNull(), F.col(id), "_row"))["_row"].alias("_first"))
-    return rows.join(first.select("_first"), F.col("_row") == F.col("_first"), "left_semi").select(docs.columns)
+    rows, classes = near_classes(docs, text, **options)
+    near = written(rows.select(F.col(id).alias("_id"), "_row").join(classes, "_row"), "near")
+    first = near.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), "_row"))["_row"].alias("_first"))
+    dropped = written(near.join(written(first, "firsts"), "_class").filter("_row != _first").select("_row"), "near-copies")
+    return without(rows, dropped, ["_row"]).select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,17 +132,22 @@ def redact(text: str | None, spans) -> str | None:
     return "".join(out) + text[end:]
 
 
-def redact_documents(docs: DataFrame, text="text") -> DataFrame:
-    """docs with secrets in its text replaced; all rows and columns stay, in their order."""
+def redact_documents(docs: DataFrame, text="text", n_chars: str | None = None) -> DataFrame:
+    """docs with secrets in its text replaced, and n_chars (a bigint column, if named) corrected where that happened; all rows and columns stay."""
     small_batches(docs.sparkSession)
-    schema, at = docs.schema, docs.columns.index(text)
+    at, size = docs.columns.index(text), docs.columns.index(n_chars) if n_chars else None
 
     def run(batches):
         for batch in batches:
-            texts = [redact(t, find_secrets(t)) if t else t for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, text, pa.array(texts, pa.string()))
-
-    return docs.mapInArrow(run, schema)
+            texts = batch.column(at).to_pylist()
+            clean = [redact(t, find_secrets(t)) if t else t for t in texts]
+            batch = batch.set_column(at, text, pa.array(clean, pa.string()))
+            if n_chars:
+                sizes = [n if a is b else len(b) for a, b, n in zip(texts, clean, batch.column(size).to_pylist(), strict=True)]
+                batch = batch.set_column(size, n_chars, pa.array(sizes, pa.int64()))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
