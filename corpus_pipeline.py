@@ -1,8 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from shardloom.llm.common import table, written
+from shardloom.llm.exact_dedup import keep_exact
+from shardloom.llm.jaccard_join import one_of_each
+from shardloom.llm.language_id import keep_identified
+from shardloom.llm.packing import pack_documents
+from shardloom.llm.secrets import redact_documents
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents that language identification doesn't reject."""
+    return keep_identified(docs)
+
+
+def exact_dedup(spark, docs, sf_dir):
+    """Of equal texts the document with the largest id."""
+    return keep_exact(docs)
+
+
+def jaccard_join(spark, docs, sf_dir):
+    """Of each group of near duplicates the document with the least id."""
+    return one_of_each(docs)
+
+
+def secret_scan(spark, docs, sf_dir):
+    """All documents, their secrets replaced and n_chars brought up to date."""
+    return redact_documents(docs, n_chars="n_chars")
+
+
+def packing(spark, docs, sf_dir):
+    """The documents' pieces, each with its sequence and its place there."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("jaccard_join", jaccard_join), ("secret_scan", secret_scan), ("packing", packing)]
+
+#: No stage but the second can be expressed in SQL; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
