@@ -203,3 +203,16 @@ def one_of_each(docs: DataFrame, id="doc_id", text="text", **options) -> DataFra
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * s >= 4 * (x.n + y.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.d, e.b FROM c JOIN e ON e.a = c.r)
+SELECT d AS doc_id, min(r) AS class_id, coalesce(any_value(k), 0) AS n_links, coalesce(any_value(n.n), 0) AS n_grams
+FROM c LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY 1) ON a = d LEFT JOIN n ON n.doc_id = d GROUP BY 1
+"""

@@ -5,11 +5,11 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
-    "substring_dedup": ("op1_substring_dedup", None),
+    "substring_dedup": ("op1_substring_dedup", "OP1_SQL"),
     "warc": ("op2_warc", "OP2_SQL"),
     "edit_embedding": ("op3_fingerprints", None),
     "language_id": ("op4_language_id", None),
-    "jaccard_join": ("op5_jaccard_join", None),
+    "jaccard_join": ("op5_jaccard_join", "OP5_SQL"),
     "secrets": ("op6_secrets", None),
     "packing": ("op7_packing", None),
     "exact_dedup": ("op8_exact_dedup", "OP8_SQL"),

@@ -334,3 +334,14 @@ def substring_dedup(docs: DataFrame, id="doc_id", text="text", window: int = WIN
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS m FROM x GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT DISTINCT doc_id, i + k AS p FROM x JOIN f USING (h), range(50) t(k) WHERE m < doc_id),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+g AS (SELECT doc_id, count(r.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (r.p IS NULL), '') AS kept FROM a LEFT JOIN r USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
