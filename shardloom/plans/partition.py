@@ -7,7 +7,7 @@ metadata. For cuts at single rows of a large matrix, row counts are first summed
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -147,3 +147,36 @@ def by_bytes(sizes: Sequence[int], devices: int) -> list[int]:
 def spans_table(spark, offsets: Sequence[int], id: str) -> DataFrame:
     """(id, row_begin, row_end) of offsets."""
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False))], f"{id} bigint, row_begin bigint, row_end bigint")
+
+
+class Spans:
+    """Row offsets of partitions, and shards of whole partitions: who holds what."""
+
+    def __init__(self, partitions: Sequence[int], shards: Sequence[int] | None = None):
+        if why := check_reshard(shards or [], partitions):
+            raise ValueError(why)
+        self.partitions, self.shards = list(partitions), list(shards or partitions)
+
+    def partition_of(self, row: int) -> int:
+        return find_span(self.partitions, row)
+
+    def shard_of(self, row: int) -> int:
+        return find_span(self.shards, row)
+
+    def partition_rows(self, i: int) -> tuple[int, int]:
+        """The first row, and the one after the last."""
+        return self.partitions[i], self.partitions[i + 1]
+
+    def shard_rows(self, i: int) -> tuple[int, int]:
+        return self.shards[i], self.shards[i + 1]
+
+    def shard_partitions(self, i: int) -> tuple[int, int]:
+        """The first partition, and the one after the last."""
+        return bisect_left(self.partitions, self.shards[i]), bisect_left(self.partitions, self.shards[i + 1])
+
+    def is_bound(self, row: int) -> bool:
+        return row in {*self.partitions}
+
+    def shard_sums(self, weights: Sequence[int]) -> list[int]:
+        """Sums by shard of a number per partition: rows, entries, bytes."""
+        return [sum(weights[slice(*self.shard_partitions(i))]) for i in range(len(self.shards) - 1)]

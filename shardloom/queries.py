@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .matrix import SparseMatrix, dense_entries, triplets
-from .operators import access, align, layout, ordering, reduce, union, validate
+from .operators import access, align, layout, ordering, reduce, repack, union, validate
 from .plans import partition as plan
 
 QUERIES, SQL = {}, {}
@@ -453,6 +453,28 @@ def partition_by_nnz(spark, d):
     return plan.partition_table(nnz, 2000)
 
 
+@query(f"""{WITH}, N AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus <> 'F') AS k FROM orders), D AS (SELECT "row" // 8 AS rb, count(DISTINCT col // 8) AS c FROM T GROUP BY 1), X AS (SELECT max(c) AS w FROM D),
+L AS (SELECT count(*) AS live FROM T JOIN V USING (col) JOIN orders ON o_orderkey = "row" WHERE feature_keep AND o_orderstatus <> 'F')
+SELECT (n * w * 8)::BIGINT AS slots, (k * w * 8)::BIGINT AS kept_row_slots, live, (n * w * 8 - live)::BIGINT AS dead_slots, live::DOUBLE / (n * w * 8) AS live_fill_ratio, ((n * w * 8 - live) * 2)::BIGINT AS dead_value_bytes FROM N, X, L""")
+def filter_stats(spark, d):
+    keep = lambda t, c: t.withColumnRenamed(c, "keep")
+    return repack.filter_stats(entries(spark, d), n_rows(spark, d), n_cols(spark, d), 8, keep(rows_of(spark, d), "row_keep"), keep(features_of(spark, d), "feature_keep"))
+
+
+@query(f"""{WITH}, C AS (SELECT o_orderkey AS "row", count(col) AS nnz, coalesce(string_agg(col::VARCHAR, ',' ORDER BY col), '') AS cols FROM orders LEFT JOIN T ON "row" = o_orderkey GROUP BY 1)
+SELECT ntile(5) OVER w - 1 AS bucket, row_number() OVER w - 1 AS exec_row, "row", cols FROM C WINDOW w AS (ORDER BY nnz, "row")""")
+def bucketed_rows(spark, d):
+    view, _ = repack.bucketed_view(entries(spark, d), rows_of(spark, d), n_rows(spark, d), 5)
+    return _text(view, "cols").drop("vals")
+
+
+@query(f"""{WITH}, N AS (SELECT (count(*) + 15) // 16 AS n FROM orders), B AS (SELECT o_orderkey // 16 AS row_block, count(DISTINCT col // 16) AS width FROM orders LEFT JOIN T ON "row" = o_orderkey GROUP BY 1)
+SELECT row_block, width, row_number() OVER w - 1 AS pos, (row_number() OVER w * 4 - 1) // n AS segment FROM B, N WINDOW w AS (ORDER BY row_block = n - 1, width, row_block)""")
+def width_segments(spark, d):
+    n = -(-n_rows(spark, d) // 16)
+    return repack.width_segments(layout.blocked_ell(entries(spark, d), 16), n, 4)
+
+
 @query(f"{WITH} SELECT o_orderkey // {SHARD} AS shard_id, (o_orderkey // {SHARD}) % 4 AS device, count(col) AS nnz FROM orders LEFT JOIN T ON o_orderkey = \"row\" GROUP BY 1")
 def place_round_robin(spark, d):
     return shard_rollup(spark, d).select("shard_id", F.pmod("shard_id", F.lit(4)).alias("device"), "nnz")

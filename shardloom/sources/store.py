@@ -218,6 +218,28 @@ def append(ds: Dataset, more: SparseMatrix) -> Dataset:
     return ds.refresh()
 
 
+def put_table(ds: Dataset, name: str, table: DataFrame, key: str | None = None) -> None:
+    """Adds a table to the active generation: annotations by row or col, one line for each, or any table without a key."""
+    sv.require(ds.role, "metadata")
+    if key is not None:
+        extent = ds.shape[0] if key == "row" else ds.shape[1]
+        if bad := validate.table(table, key, extent):
+            raise ValueError(f"{name}: {bad}")
+    table.write.parquet(f"{ds.folder}/tables/{name}")
+
+
+def get_table(ds: Dataset, name: str) -> DataFrame:
+    return ds._table(f"tables/{name}")
+
+
+def put_attributes(ds: Dataset, attributes: dict[str, str]) -> Dataset:
+    """The dataset with these attributes added or replaced."""
+    sv.require(ds.role, "metadata")
+    meta = ds.refresh().meta
+    _write_text(ds.spark, f"{ds.path}/CURRENT.json", json.dumps(meta | {"attributes": meta["attributes"] | attributes}, sort_keys=True))
+    return ds.refresh()
+
+
 def derive(ds: Dataset, path: str, rows: list[int], features: list[int], row_groups=(), feature_groups=()) -> Dataset:
     """A new dataset of the selected rows and features in their order, with group labels and where it came from."""
     access.check_selection(rows, ds.shape[0], "row")
