@@ -40,17 +40,18 @@ def nonzero(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("value") != 0)
 
 
-def triplets(df: DataFrame, row: str | Column, col: str | Column, value: str | Column, duplicates: str = "sum", ordinal: str | Column | None = None) -> DataFrame:
+def triplets(df: DataFrame, row: str | Column, col: str | Column, value: str | Column, duplicates: str = "sum", ordinal: str | Column | None = None, short_rows: bool = False) -> DataFrame:
     """Entries of any table. Repeated (row, col): "sum" them, "keep" them, or take the "last" by ordinal.
 
-    Rows are dealt out by `row` once; sums over (row, col) and later ones by row then need no further
-    shuffle. Null values count as absent.
+    Null values count as absent. By default entries are dealt out by (row, col), after partial sums, so
+    that a row with a large share of them is no task's alone. Where rows are known to be short,
+    short_rows deals them out by row; later sums by row then need no further shuffle.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else x
     out = df.select(c(row).cast("bigint").alias("row"), c(col).cast("bigint").alias("col"), c(value).cast("double").alias("value"), *([c(ordinal).alias("_ord")] if ordinal is not None else [])).filter("value is not null")
     if duplicates == "keep":
         return nonzero(out.select("row", "col", "value"))
-    keyed = out.repartition("row").groupBy("row", "col")
+    keyed = (out.repartition("row") if short_rows else out).groupBy("row", "col")
     if duplicates == "last":
         return nonzero(keyed.agg(F.max_by("value", "_ord").alias("value")))
     if duplicates != "sum":

@@ -40,7 +40,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def entries(spark, d) -> DataFrame:
-    return triplets(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
+    """An order has a few lines: its row is short."""
+    return triplets(read(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_quantity", short_rows=True)
 
 
 def rows_of(spark, d) -> DataFrame:
