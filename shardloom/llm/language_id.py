@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 #: Labelled rows per language that a model is fitted on at most, and languages at most.
 SAMPLE, LANGUAGES = 600, 200
@@ -107,17 +107,17 @@ def held_out(id) -> F.Column:
 
 def fit_on(docs: DataFrame, id="doc_id", text="text", lang="lang", sample: int = SAMPLE) -> Centroids:
     """A model from at most `sample` labelled rows of each language, chosen by a hash of the id; held-out rows have no part in it."""
-    rows = docs.filter(~held_out(id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.xxhash64(F.col(id)).alias("_h"), F.col(id).alias("_id"))
+    base = docs.filter(~held_out(id)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
     # Ranks move ids and hashes only; Spark cuts each task's rows to the sample before the shuffle.
-    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_id"))).filter(F.col("_n") <= sample).select("_id", "_lang", "_n")
-    picked = first.groupBy("_lang").agg(F.max("_n")).limit(LANGUAGES + 1).count()
-    if picked > LANGUAGES:
+    rows = base.select("lang", "id", F.xxhash64("id").alias("h"))
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= sample)
+    first = written(first.groupBy("lang", "id").agg(F.min("n").alias("n")), "sample")
+    if first.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: raise LANGUAGES, which bounds what the driver fits on")
-    first = first.dropDuplicates(["_id", "_lang"])
-    # At most sample x LANGUAGES ids: a bounded side.
-    found = docs.join(F.broadcast(first), (docs[id] == first["_id"]) & (docs[lang] == first["_lang"])).select(F.col("_lang"), F.col(text).alias("_text"), "_n", F.xxhash64(F.col(text)).alias("_h"))
-    one = found.groupBy("_lang", "_n").agg(F.min_by("_text", "_h").alias("_text"))
-    return fit([(r._lang, r._text) for r in one.collect()])
+    # At most sample x LANGUAGES ids: a bounded side. Of rows that share an id the text with the least hash is taken.
+    found = base.join(F.broadcast(first), ["lang", "id"]).groupBy("lang", "n").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return fit([(r.lang, r.text) for r in found.collect()])
+
 
 
 def identify(docs: DataFrame, model: Centroids, columns: list[str], text="text") -> DataFrame:
