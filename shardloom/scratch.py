@@ -10,6 +10,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_PATHS: list[str] = []
+
+
+class scope:  # noqa: N801
+    """with scope(spark): tables written inside are deleted at its end, when no result that reads them is needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        self.at = len(_PATHS)
+
+    def __exit__(self, *_):
+        for path in _PATHS[self.at :]:
+            fs, p = hadoop_path(self.spark, path)
+            fs.delete(p, True)
+        del _PATHS[self.at :]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one of our own only where none is set (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +49,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/shardloom/{name}-{uuid.uuid4().hex}"
     fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
+    _PATHS.append(path)
     return path
 
 

@@ -156,3 +156,15 @@ def test_dense_index(spark):
     got = dense_index(df, ["k"], "n").collect()
     assert all(r.k == r.n for r in got) and len(got) == 1000
     assert dense_index(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_scope_deletes_its_tables(spark):
+    from pathlib import Path
+
+    from shardloom import scratch
+
+    with scratch.scope(spark):
+        df = scratch.written(spark.range(3), "t")
+        at = Path(df.inputFiles()[0].removeprefix("file://")).parent
+        assert at.exists() and df.count() == 3
+    assert not at.exists()
