@@ -6,12 +6,13 @@ as the next one's docs.
 
 from __future__ import annotations
 
-from shardloom.llm.common import table, written
+from shardloom.llm.common import table
 from shardloom.llm.exact_dedup import keep_exact
 from shardloom.llm.jaccard_join import one_of_each
 from shardloom.llm.language_id import keep_identified
 from shardloom.llm.packing import pack_documents
 from shardloom.llm.secrets import redact_documents
+from shardloom.scratch import scope, scratch_path
 
 
 def language_id(spark, docs, sf_dir):
@@ -50,5 +51,8 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scope(spark):  # what a stage wrote for itself goes once its result is there
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
