@@ -63,8 +63,11 @@ def exact_dedup(docs: DataFrame, id="doc_id", text="text", name=F.xxhash64, leas
     rows = chunk_recipes(rows, "_text", name, least, most)
     rows = written(rows.select("_id", F.sha2("_text", 256).alias("text_sha256"), "recipe", F.coalesce("variants", F.array().cast("array<bigint>")).alias("variants"), F.monotonically_increasing_id().alias("_row")), "recipes")
     groups = rows.groupBy("recipe", "variants").agg(F.max(F.struct("_id", "_row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
-    out = rows.join(groups, ["recipe", "variants"])
-    return out.select(F.col("_id").alias(id), F.col("last._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("last._row")).alias("kept"), "text_sha256")
+    # Written, so that the join has an exchange of its own on either side and a hot group's rows can be split.
+    groups = written(groups.filter("group_size > 1"), "groups")
+    out = rows.join(groups, ["recipe", "variants"], "left")
+    alone = F.col("group_size").isNull()
+    return out.select(F.col("_id").alias(id), F.when(alone, F.col("_id")).otherwise(F.col("last._id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), (alone | (F.col("_row") == F.col("last._row"))).alias("kept"), "text_sha256")
 
 
 def keep_exact(docs: DataFrame, id="doc_id", text="text", **options) -> DataFrame:
