@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import scratch_path, written
 
-__all__ = ["ascii_lower", "scratch_path", "small_batches", "table", "without", "written"]
+__all__ = ["ascii_lower", "numbered_columns", "scratch_path", "small_batches", "table", "without", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +36,9 @@ def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     on = [rows[k].eqNullSafe(dropped[k]) for k in keys]
     return rows.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), on, "left_anti")
+
+
+def numbered_columns(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ..., so that names of ours clash with none; and the new names of those given."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{i}" for i in at]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, without, written
+from .common import ascii_lower, numbered_columns, table, without, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -72,15 +72,17 @@ def exact_dedup(docs: DataFrame, id="doc_id", text="text", name=F.xxhash64, leas
 
 def keep_exact(docs: DataFrame, id="doc_id", text="text", **options) -> DataFrame:
     """docs' rows that exact_dedup() keeps, with all columns; of rows with the same id and text any one."""
+    names = docs.columns
+    docs, (id, text) = numbered_columns(docs, id, text)
     found = exact_dedup(docs, id, text, **options).select(F.col(id).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
     pairs = written(found.groupBy("_id", "_sha").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("not _kept or _n > 1"), "dropped")
     rows = docs.withColumns({"_id": F.col(id), "_sha": F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)})
     out = without(rows, pairs.select("_id", "_sha"), ["_id", "_sha"]).select(docs.columns)
     again = pairs.filter("_kept").select(F.col("_id").alias("_id2"), F.col("_sha").alias("_sha2"))
     if again.isEmpty():
-        return out
+        return out.toDF(*names)
     same = rows.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_sha") == F.col("_sha2")))
-    return out.unionByName(same.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.lit(0)))).filter("_n = 1").select(docs.columns))
+    return out.unionByName(same.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_sha").orderBy(F.lit(0)))).filter("_n = 1").select(docs.columns)).toDF(*names)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import exact_dedup as X
 
-SCHEMA = "doc_id bigint, text string, recipe string, kept int"
+SCHEMA = "doc_id bigint, text string, _id string, _n int"
 
 
 def corpus():
