@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, without, written
+from .common import numbered_columns, small_batches, table, without, written
 from .components import components
 from .hashing import mix, ngram_hashes, word_hashes
 
@@ -194,11 +194,13 @@ def jaccard_join(docs: DataFrame, id="doc_id", text="text", **options) -> DataFr
 
 def one_of_each(docs: DataFrame, id="doc_id", text="text", **options) -> DataFrame:
     """docs with one row of each component: that of the least id, of repeated ones the first. Rows without n-grams all stay."""
+    names = docs.columns
+    docs, (id, text) = numbered_columns(docs, id, text)
     rows, classes = near_classes(docs, text, **options)
     near = written(rows.select(F.col(id).alias("_id"), "_row").join(classes, "_row"), "near")
     first = near.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), "_row"))["_row"].alias("_first"))
     dropped = written(near.join(written(first, "firsts"), "_class").filter("_row != _first").select("_row"), "near-copies")
-    return without(rows, dropped, ["_row"]).select(docs.columns)
+    return without(rows, dropped, ["_row"]).select(docs.columns).toDF(*names)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

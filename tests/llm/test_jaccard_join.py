@@ -70,7 +70,7 @@ def test_band_collisions_follow_similarity():
 @pytest.mark.parametrize("block", [4, 2048])
 def test_op5(spark, block):
     texts = corpus()
-    docs = spark.createDataFrame([(i * 7, t, "c", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, class_id string, label int").repartition(5)
+    docs = spark.createDataFrame([(i * 7, t, "c", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, _row string, _bands int").repartition(5)
     near, label = brute(texts)
     rows = {r.doc_id // 7: r for r in J.jaccard_join(docs, block=block).collect()}
     assert len(rows) == len(texts)
