@@ -22,7 +22,7 @@ from .hashing import mix, ngram_hashes, word_hashes
 
 WORDS, LEAST, RECALL, HASHES = 5, 0.8, 0.999, 320
 #: Classes of a component that are verified in one task; beyond it, of each of two blocks.
-BLOCK = 2048
+BLOCK = 512
 _SLAB = 2048
 
 
