@@ -108,12 +108,17 @@ def held_out(id) -> F.Column:
 def fit_on(docs: DataFrame, id="doc_id", text="text", lang="lang", sample: int = SAMPLE) -> Centroids:
     """A model from at most `sample` labelled rows of each language, chosen by a hash of the id; held-out rows have no part in it."""
     base = docs.filter(~held_out(id)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    # Ranks move ids and hashes only; Spark cuts each task's rows to the sample before the shuffle.
-    rows = base.select("lang", "id", F.xxhash64("id").alias("h"))
-    first = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= sample)
-    first = written(first.groupBy("lang", "id").agg(F.min("n").alias("n")), "sample")
-    if first.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+    counts = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: raise LANGUAGES, which bounds what the driver fits on")
+    if not counts:
+        return fit([])
+    # Of a language's ids those with the least hashes; a share of the hashes that holds twice as many is cut off before they are ranked.
+    share = docs.sparkSession.createDataFrame([(r.lang, (2 * sample + 200) / r.n) for r in counts], "lang string, share double")
+    rows = base.select("lang", "id", F.xxhash64("id").alias("h")).join(F.broadcast(share), "lang")
+    rows = rows.filter(F.col("h").bitwiseAND((1 << 52) - 1) < F.col("share") * float(1 << 52))
+    order = W.partitionBy("lang").orderBy(F.col("h").bitwiseAND((1 << 52) - 1), "id")
+    first = written(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).groupBy("lang", "id").agg(F.min("n").alias("n")), "sample")
     # At most sample x LANGUAGES ids: a bounded side. Of rows that share an id the text with the least hash is taken.
     found = base.join(F.broadcast(first), ["lang", "id"]).groupBy("lang", "n").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return fit([(r.lang, r.text) for r in found.collect()])
