@@ -14,10 +14,13 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     else:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Joined on another expression than it was summed up by: both sides then have an exchange of their own,
+    # and the rows of a hub can be split.
+    joined = pairs.withColumn("k", F.bitwise_not("u")).join(least.select(F.bitwise_not("u").alias("k"), "m"), "k")
     if large:
-        out = pairs.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        out = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a != b").distinct()
 
 
