@@ -1,12 +1,17 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes a vector of hashed n-grams of its letters (one to three characters, word ends marked),
-weighted by TF-IDF and normalised. Spherical k-means makes a few centroids for each language; a text
-gets the language of the centroid with the largest cosine, and is rejected if that is too small.
+weighted by TF-IDF and normalised. The hash gives each n-gram a sign too, so that collisions cancel out
+and a text in a script that was not learned has a cosine near 0, however long it is. Spherical k-means
+makes a few centroids for each language; a text gets the language of the centroid with the largest cosine,
+and is rejected if that is too small: under LEAST, or far under what labelled texts of the language with as
+many letters have.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +25,9 @@ SAMPLE, LANGUAGES = 600, 200
 DIMS, CENTROIDS, ROUNDS = 1 << 13, 3, 12
 #: Cosine under which a text is rejected.
 LEAST = 0.05
+#: Texts with at least so many letters and word ends are rejected under MARGIN times the QUANTILE of the cosines that a
+#: language's labelled texts have when cut to that length, if FEW of them are as long; else as at the length before.
+LENGTHS, MARGIN, QUANTILE, FEW = (32, 64, 256, 1024, 4096, 16384), 0.5, 0.01, 30
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -34,8 +42,8 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def ngram_counts(text: str, dims: int = DIMS) -> np.ndarray | None:
-    """Hashed counts of the 1- to 3-grams of the letters of a whole text; None if it has no letter."""
+def letters(text: str) -> np.ndarray | None:
+    """Code points of the letters of a whole text, runs of other characters as one word end; None if it has no letter."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     if not letter.any():
@@ -44,32 +52,45 @@ def ngram_counts(text: str, dims: int = DIMS) -> np.ndarray | None:
     code = np.where(letter, code, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    a = np.concatenate([[32], code[keep], [32]]).astype(np.uint64)
-    mix = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)) & np.uint64(dims - 1)
+    return np.concatenate([[32], code[keep], [32]]).astype(np.uint64)
+
+
+def ngram_counts(a: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Hashed counts of the 1- to 3-grams of letters(); those of half the n-grams count as negative."""
+    mix = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)) & np.uint64(2 * dims - 1)
     one, two = a + np.uint64(1 << 50), a[:-1] << np.uint64(21) | a[1:]
     three = (a[:-2] << np.uint64(42)) ^ (a[1:-1] << np.uint64(21)) ^ a[2:] ^ np.uint64(1 << 63)
     grams = np.concatenate([mix(one[one != np.uint64(32 + (1 << 50))]), mix(two ^ np.uint64(1 << 51)), mix(three)])
-    return np.bincount(grams.astype(np.int64), minlength=dims).astype(np.float32)
+    both = np.bincount(grams.astype(np.int64), minlength=2 * dims).astype(np.float32)
+    return both[::2] - both[1::2]
+
+
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return _unit(np.copysign(np.log1p(np.abs(counts)), counts) * idf)
 
 
 class Centroids:
-    """A fitted model: languages, idf and centroids; its size depends on its parameters alone."""
+    """A fitted model: idf, centroids, and each one's language and least cosines by length; its size depends on its parameters alone."""
 
-    def __init__(self, idf: np.ndarray, vectors: np.ndarray, languages: list[str]):
-        self.idf, self.vectors, self.languages = idf, vectors, languages
+    def __init__(self, idf: np.ndarray, vectors: np.ndarray, languages: list[str], floors: list[list[float]]):
+        self.idf, self.vectors, self.languages, self.floors = idf, vectors, languages, floors
 
     def vector(self, text: str) -> np.ndarray | None:
-        counts = ngram_counts(text, len(self.idf))
-        return None if counts is None else _unit(np.log1p(counts) * self.idf)
+        a = letters(text)
+        return None if a is None else _weighted(ngram_counts(a, len(self.idf)), self.idf)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, cosine); ("und", 0.0) for null, a text without letters, or a model without languages."""
-        v = self.vector(text) if text and self.languages else None
-        if v is None:
+        """(language, cosine), the cosine as 0.0 if it is too small for a text of that language and length.
+
+        ("und", 0.0) for null, a text without letters, or a model without languages.
+        """
+        a = letters(text) if text and self.languages else None
+        if a is None:
             return UNKNOWN, 0.0
-        cosines = self.vectors @ v
+        cosines = self.vectors @ _weighted(ngram_counts(a, len(self.idf)), self.idf)
         best = int(cosines.argmax())
-        return self.languages[best], min(1.0, max(0.0, float(cosines[best])))
+        least = self.floors[best][bisect_right(LENGTHS, len(a))]
+        return self.languages[best], min(1.0, float(cosines[best])) if cosines[best] >= least else 0.0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -80,14 +101,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[tuple[str, str]], centroids: int = CENTROIDS, dims: int = DIMS) -> Centroids:
     """From (language, text) rows; texts without letters are left out."""
     rows = sorted((lang, t) for lang, t in texts if lang is not None and t)
-    counted = [(lang, c) for lang, t in rows if (c := ngram_counts(t, dims)) is not None]
+    coded = [(lang, a) for lang, t in rows if (a := letters(t)) is not None]
+    counted = [(lang, ngram_counts(a, dims)) for lang, a in coded]
     seen = np.zeros(dims, np.float32)
     for _, c in counted:
-        seen += c > 0
+        seen += c != 0
     idf = (np.log((1 + len(counted)) / (1 + seen)) + 1).astype(np.float32)
-    vectors, names = [], []
+    vectors, names, floors = [], [], []
     for lang in sorted({lang for lang, _ in counted}):
-        x = _unit(np.log1p(np.stack([c for k, c in counted if k == lang])) * idf)
+        x = _weighted(np.stack([c for k, c in counted if k == lang]), idf)
         # Farthest-first starts: the mean, then what is least like the centroids so far.
         c = _unit(x.mean(axis=0, keepdims=True))
         while len(c) < min(centroids, len(x)):
@@ -97,7 +119,17 @@ def fit(texts: list[tuple[str, str]], centroids: int = CENTROIDS, dims: int = DI
             c = np.stack([_unit(x[own == k].mean(axis=0)) if (own == k).any() else c[k] for k in range(len(c))])
         vectors.append(c)
         names += [lang] * len(c)
-    return Centroids(idf, np.vstack(vectors) if vectors else np.zeros((0, dims), np.float32), names)
+        floors += [_floors([a for k, a in coded if k == lang], idf, c)] * len(c)
+    return Centroids(idf, np.vstack(vectors) if vectors else np.zeros((0, dims), np.float32), names, floors)
+
+
+def _floors(texts: list[np.ndarray], idf: np.ndarray, centroids: np.ndarray) -> list[float]:
+    """The least cosine of a text shorter than all LENGTHS, and of one at least as long as each."""
+    out = [LEAST]
+    for n in LENGTHS:
+        cosines = [float((centroids @ _weighted(ngram_counts(a[:n], len(idf)), idf)).max()) for a in texts if len(a) >= n]
+        out.append(max(LEAST, MARGIN * float(np.quantile(cosines, QUANTILE))) if len(cosines) >= FEW else out[-1])
+    return out
 
 
 def held_out(id) -> F.Column:

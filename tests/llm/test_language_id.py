@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -45,3 +46,15 @@ def test_nearest_centroid_by_brute_force(spark):
         cosines = [float(sum(x * y for x, y in zip(c.tolist(), v.tolist(), strict=True))) for c in m.vectors]
         best = max(range(len(cosines)), key=cosines.__getitem__)
         assert m.predict(t)[0] == m.languages[best] and abs(m.predict(t)[1] - min(1, cosines[best])) < 1e-5
+
+
+def test_unlearned_scripts_and_gibberish_are_rejected_at_any_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = L.fit_on(docs), random.Random(3)
+    for low, n in ((0x430, 32), (0x3B1, 25), (0x4E00, 8000), (0x3041, 86), (0xAC00, 11000), (0x627, 36), (97, 26)):
+        for size in (50, 200, 1000, 5000, 20_000, 100_000):
+            for _ in range(5 if size < 100_000 else 1):
+                t = "".join(rng.choice([" ", *(chr(low + rng.randrange(n)) for _ in range(6))]) for _ in range(size))
+                assert model.predict(t)[1] < L.LEAST, (low, size)
+    held = [r.text for r in docs.filter(L.held_out("doc_id")).collect() if r.text and L.letters(r.text) is not None]
+    assert all(model.predict(t)[1] >= L.LEAST for t in held) and len(held) > 200
