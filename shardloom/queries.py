@@ -357,6 +357,11 @@ def band_diagonals(spark, d):
     return _text(layout.diagonals(entries(spark, d).filter(F.abs(F.col("row") - F.col("col")) <= 5)), "rows", "vals")
 
 
+@query(f"""{WITH} SELECT col - "row" AS diag_offset, string_agg("row"::VARCHAR, ',' ORDER BY "row") AS rows, string_agg(value::BIGINT::VARCHAR, ',' ORDER BY "row") AS vals FROM T GROUP BY 1""")
+def all_diagonals(spark, d):
+    return _text(layout.diagonals(entries(spark, d)), "rows", "vals")
+
+
 @query(f"""{WITH}, N AS (SELECT count(*) AS n FROM orders), S(b) AS (VALUES (4), (8), (16), (32)), D AS (SELECT DISTINCT b, "row" // b AS rb, col // b AS cb FROM T, S), P AS (SELECT b, rb, count(*) AS c FROM D GROUP BY 1, 2)
 SELECT b::BIGINT AS block_size, max(c) AS width, ((n + b - 1) // b)::BIGINT AS row_blocks, sum(c)::BIGINT AS blocks, (n * max(c) * b * 2)::BIGINT AS padded_bytes, sum(c)::DOUBLE / (((n + b - 1) // b) * max(c)) AS fill FROM P, N GROUP BY b, n""")
 def blocked_ell_tune(spark, d):

@@ -43,3 +43,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1500
     assert {*entry.oracle_sql()} <= {*entry.queries()}
+
+
+def test_all_diagonals_hold_every_entry(spark):
+    found = Q.all_diagonals(spark, SF).collect()
+    got = sorted((r.diag_offset, int(row), int(v)) for r in found for row, v in zip(r.rows.split(","), r.vals.split(","), strict=True))
+    want = sorted((r.col - r.row, r.row, int(r.value)) for r in Q.entries(spark, SF).collect())
+    assert got == want and len(want) > 5000
