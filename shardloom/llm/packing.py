@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,50 +92,55 @@ def best_fit(lengths: dict[int, int], cap: int = CAP) -> Plan:
     return done + [x for xs in open_.values() for x in xs]
 
 
-def completions(keys: list[int], counts: dict[int, int], room: int, width: int, steps: int) -> tuple[list[tuple[int, ...]], int]:
-    """Undominated fillings of `room`, least waste first, and the steps taken to find them.
+def completions(keys: list[int], counts: dict[int, int], room: int, width: int, steps: int) -> Iterator[tuple[list[tuple[int, ...]], int]]:
+    """All undominated fillings of `room`, in batches, and the steps taken to find each batch.
 
-    In an undominated filling no unused length fits beside the others, or in place of a shorter one.
+    In an undominated filling no unused length fits beside the others, or in place of a shorter one. A
+    batch is in order of waste and ends with a perfect filling, `width` fillings or `steps` steps. Keys and
+    counts must be the same whenever a batch is asked for.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = steps
 
     def dominated(waste: int, chosen: tuple[int, ...]) -> bool:
         used = Counter(chosen)
         free = lambda lo, hi: any(counts[k] > used[k] for k in keys[bisect_right(keys, lo) : bisect_right(keys, hi)])
         return waste > 0 and (free(0, waste) or any(free(c, c + waste) for c in used))
 
-    stack = [(room, bisect_right(keys, room) - 1, ())]
-    while stack and len(found) < width and budget:
-        budget -= 1
-        left, at, chosen = stack.pop()
-        if left == 0 or at < 0 or keys[0] > left:
-            if not dominated(left, chosen):
-                found.append((left, chosen))
-                if left == 0:
-                    break
-            continue
-        k = keys[at]
-        stack.append((left, at - 1, chosen))
-        most = min(left // k, counts[k])
-        for m in range(1, most + 1):
-            stack.append((left - m * k, min(at - 1, bisect_right(keys, left - m * k) - 1), chosen + (k,) * m))
-    if not found:  # the steps ran out: the longest that fit
-        left, chosen = room, ()
-        for k in reversed(keys):
-            m = min(left // k, counts[k])
-            left, chosen = left - m * k, chosen + (k,) * m
-        found.append((left, chosen))
-    return [c for _, c in sorted(found)], steps - budget
+    stack, first = [(room, bisect_right(keys, room) - 1, ())], True
+    while stack:
+        found: list[tuple[int, tuple[int, ...]]] = []
+        budget = steps
+        while stack and len(found) < width and budget:
+            budget -= 1
+            left, at, chosen = stack.pop()
+            if left == 0 or at < 0 or keys[0] > left:
+                if not dominated(left, chosen):
+                    found.append((left, chosen))
+                    if left == 0:
+                        break
+                continue
+            k = keys[at]
+            stack.append((left, at - 1, chosen))
+            most = min(left // k, counts[k])
+            for m in range(1, most + 1):
+                stack.append((left - m * k, min(at - 1, bisect_right(keys, left - m * k) - 1), chosen + (k,) * m))
+        if first and not found:  # the steps ran out: the longest that fit
+            left, chosen = room, ()
+            for k in reversed(keys):
+                m = min(left // k, counts[k])
+                left, chosen = left - m * k, chosen + (k,) * m
+            found.append((left, chosen))
+        first = False
+        yield [c for _, c in sorted(found)], steps - budget
 
 
 def pack_lengths(lengths: dict[int, int], cap: int = CAP, work: int = 1_000_000, width: int = 16, steps: int = 4_000) -> Plan:
     """Patterns and their numbers of uses, for lengths (1 to cap) and their counts.
 
     Best fit gives the first incumbent. Then, depth first: around the longest length left, the fillings
-    are tried in order of waste, each as often as the counts allow; a branch ends where the waste so far
-    rules out fewer sequences than the incumbent has. The search ends at the lower bound, or after
-    `work` steps with the incumbent; `width` and `steps` bound the fillings that a node looks at.
+    are tried batch by batch, each as often as the counts allow, and after all of them each less often; a
+    branch ends where the waste so far rules out fewer sequences than the incumbent has. The search ends
+    at the lower bound, when nothing is left to try (the incumbent is optimal), or after `work` steps with
+    the incumbent. `width` and `steps` bound a batch: more are made when the search comes back for them.
     """
     lengths = {k: n for k, n in lengths.items() if n}
     total, least = sum(k * n for k, n in lengths.items()), lower_bound(lengths, cap)
@@ -155,13 +161,20 @@ def pack_lengths(lengths: dict[int, int], cap: int = CAP, work: int = 1_000_000,
 
     def branch():
         nonlocal work
-        longest = keys[-1]
-        counts[longest] -= 1
-        free = keys if counts[longest] else keys[:-1]
-        options, used = completions(free, counts, cap - longest, width, steps)
-        counts[longest] += 1
-        work -= used
-        return iter([(longest, *c) for c in options])
+        longest, before = keys[-1], path[-1][0] if path else ()
+        for largest in (True, False):
+            batches = completions(keys, counts, cap - longest, width, steps)
+            while work > 0:
+                counts[longest] -= 1
+                batch, used = next(batches, (None, 0))
+                counts[longest] += 1
+                if batch is None:
+                    break
+                work -= used
+                for pattern in [(longest, *c) for c in batch]:
+                    most = min(counts[k] // m for k, m in Counter(pattern).items())
+                    if pattern != before:  # more of the same was tried above
+                        yield from ((pattern, n) for n in ([most] if largest else range(most - 1, 0, -1)))
 
     while work > 0 and size(best) > least:
         work -= 10
@@ -175,8 +188,8 @@ def pack_lengths(lengths: dict[int, int], cap: int = CAP, work: int = 1_000_000,
                 pattern, n = path.pop()
                 waste.pop()
                 take(pattern, -n)
-            if pattern := next(frames[-1], None):
-                n = min(counts[k] // m for k, m in Counter(pattern).items())
+            if option := next(frames[-1], None):
+                pattern, n = option
                 take(pattern, n)
                 path.append((pattern, n))
                 waste.append(waste[-1] + n * (cap - sum(pattern)))

@@ -123,6 +123,22 @@ def test_branch_and_bound_is_optimal_on_small_inputs():
         assert plan_ok(packing.best_fit(lengths, cap), lengths, cap) >= n
 
 
+def test_search_goes_on_after_a_perfect_filling():
+    lengths = Counter([51, 47, 46, 32, 28, 26, 23, 14, 13, 12, 8])
+    assert sum(n for _, n in packing.best_fit(lengths, 100)) == 4
+    assert plan_ok(packing.pack_lengths(lengths, 100), lengths, 100) == 3
+
+
+def test_search_is_optimal_with_its_defaults_and_with_tiny_batches():
+    rng = random.Random(6)
+    for _ in range(150):
+        cap = rng.choice([10, 17, 40, 100])
+        items = sorted((rng.randint(1, cap // rng.choice([1, 2, 3])) for _ in range(rng.randint(0, 10))), reverse=True)
+        lengths, least = Counter(items), brute_least(items, cap)
+        for options in ({}, {"width": 1}, {"steps": 3}):
+            assert plan_ok(packing.pack_lengths(lengths, cap, **options), lengths, cap) == least
+
+
 def test_bound_and_search_beat_best_fit():
     lengths = Counter({7: 4, 6: 4, 4: 4, 3: 4, 5: 4, 2: 8})
     assert plan_ok(packing.pack_lengths(lengths, 15), lengths, 15) == packing.lower_bound(lengths, 15)
