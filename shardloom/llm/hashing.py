@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of the cache of word hashes, about; words that are longer than so many bytes are not kept in it.
+CACHE_BYTES, CACHED = 32 << 20, 64
+
+
+class _Hashes(dict):
+    """Word to 64 bits of its BLAKE2b hash."""
+
+    size = 0
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= CACHED:
+            if self.size > CACHE_BYTES:
+                self.clear()
+                self.size = 0
+            self.size += len(word) + 150
+            self[word] = value
+        return value
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+_HASHES = _Hashes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,31 +45,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = 1 << n.bit_length()
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS
-
-
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets at which words start and end; words are runs without space, tab, line or page breaks."""
-    word = np.concatenate([[False], ~_SPACE[np.frombuffer(data, np.uint8)], [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, in order."""
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word. Equal hashes are a reason to compare words, not proof that they are equal."""
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -54,3 +59,33 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = (out + words[k : k + len(out)]) * np.uint64(_BASE)
     return mix(out + np.uint64(n))
+
+
+def _joined(left: np.ndarray, right: np.ndarray, at: int) -> np.ndarray:
+    """Dense numbers of the pairs (left[i], right[i + at])."""
+    n = max(0, len(right) - at)
+    return np.unique(left[:n] * (int(right.max(initial=0)) + 1) + right[at:], return_inverse=True)[1].astype(np.int64)
+
+
+def gram_numbers(texts: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, start): numbers of the n-grams of words of texts in turn, equal where all words are.
+
+    Those of text i are number[start[i]:start[i + 1]]. A shorter text that has words is one n-gram, which
+    no longer text has.
+    """
+    known = Numbers({b"": 0})  # no word is empty: that one fills up short texts
+    size = np.array([max(len(t), n) if t else 0 for t in texts], np.int64)
+    flat = np.zeros(int(size.sum()), np.int64)
+    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    for t, a in zip(texts, start.tolist(), strict=False):
+        flat[a : a + len(t)] = np.fromiter(map(known.__getitem__, t), np.int64, len(t))
+    code, length, power, p, rest = None, 0, flat, 1, n
+    while rest:
+        if rest & 1:
+            code, length = power if code is None else _joined(code, power, length), length + p
+        if rest := rest >> 1:
+            power, p = _joined(power, power, p), 2 * p
+    grams = np.maximum(size - n + 1, 0)
+    own = np.repeat(np.arange(len(texts)), grams)
+    before = np.concatenate([[0], np.cumsum(grams)]).astype(np.int64)
+    return code[start[own] + np.arange(len(own)) - before[own]], before

@@ -1,10 +1,11 @@
 """Similarity join on word n-gram sets: MinHash banding, then verification on the full sets.
 
-Texts with equal sets are one class from the start. Classes that share a band meet only by number: each
+Texts with the same words are one class from the start. Classes that share a band meet only by number: each
 names the least of its bucket, and the components of those stars hold every candidate pair. Each class of a
 component of two or more is then moved once, with its text, to where all pairs of the component are
-verified; nothing is emitted per pair, but a count for each class and the component it is in. Larger
-components are cut into blocks, and the pairs of blocks spread over tasks.
+verified on n-grams compared word for word; nothing is emitted per pair, but a count for each class and the
+component it is in. Larger components are cut into blocks, and the pairs of blocks spread over tasks.
+Hashes only find candidates.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered_columns, small_batches, table, without, written
 from .components import components
-from .hashing import mix, ngram_hashes, word_hashes
+from .hashing import gram_numbers, mix, ngram_hashes, word_hashes
 
 WORDS, LEAST, RECALL, HASHES = 5, 0.8, 0.999, 320
 #: Classes of a component that are verified in one task; beyond it, of each of two blocks.
@@ -32,9 +33,15 @@ def bands_for(least: float = LEAST, recall: float = RECALL, hashes: int = HASHES
     return max(((b, r) for b, r in fits if b * r <= hashes), key=lambda x: x[1], default=(1, 1))
 
 
-def gram_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text's lower-cased words."""
-    return np.unique(ngram_hashes(word_hashes((text or "").lower().encode("utf-8", "surrogatepass")), words))
+def lower_words(text: str | None) -> list[bytes]:
+    """A text's words, in lower case."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+
+
+def gram_sets(texts: list[list[bytes]], n: int = WORDS) -> list[np.ndarray]:
+    """For each text, given by its words, where its distinct n-grams stand first, and their numbers: equal ones are equal word for word."""
+    number, start = gram_numbers(texts, n)
+    return [np.unique(number[a:b], return_index=True) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
 
 
 class MinHash:
@@ -103,7 +110,7 @@ def _labels(links: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def _verify(key, members, words: int, least: float):
     """(row, links, to, many) for the members (row, copies, block, text) of a component or of two of its blocks."""
     rows, copies = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64)
-    sets = [gram_set(m[3], words) for m in members]
+    sets = [grams for grams, _ in gram_sets([lower_words(m[3]) for m in members], words)]
     if key[1] == key[2]:
         links = linked(sets, None, least)
     else:
@@ -133,10 +140,10 @@ def near_classes(docs: DataFrame, text="text", words: int = WORDS, least: float
         import hashlib
 
         for batch in batches:
-            rows = []
-            for t in batch.column(at).to_pylist():
-                g = gram_set(t, words)
-                rows.append((hashlib.blake2b(g.tobytes(), digest_size=16).digest(), len(g), hasher.band_hashes(g)) if len(g) else (None, 0, None))
+            rows, texts = [], [lower_words(t) for t in batch.column(at).to_pylist()]
+            for w, (_, first) in zip(texts, gram_sets(texts, words), strict=True):
+                grams = ngram_hashes(word_hashes(w), words)[first]
+                rows.append((hashlib.blake2b(b" ".join(w), digest_size=16).digest(), len(first), hasher.band_hashes(grams)) if w else (None, 0, None))
             more = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 

@@ -2,10 +2,10 @@
 
 Equal windows of words have the same anchor: the n-gram with the least hash, at the same place in them. An
 anchor that only one document has rules its windows out, so only stretches around anchors that several
-documents share are routed on, each anchor's to one shard. Equal stretches become one there, with the least
-document that has it. A shard builds an FM-index (a wavelet matrix over the Burrows-Wheeler transform) of
-its stretches, and streams them through backward search: one pass gives, for every window, the interval of
-all its occurrences and so the first document that has it.
+documents share are routed on, each anchor's to one shard. A shard builds an FM-index (a wavelet matrix over
+the Burrows-Wheeler transform) of the stretches that a later document may repeat, and streams those that an
+earlier one may have through it: backward search gives the matching statistics, and a match as long as the
+window reports the first document that has it. Hashes only pick anchors; an index compares words.
 """
 
 from __future__ import annotations
@@ -18,162 +18,174 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
-from .hashing import ngram_hashes, word_hashes
+from .hashing import Numbers, ngram_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 12
 #: Words of a shard, about; stretches of an anchor beyond which its windows are routed one by one.
 SHARD_WORDS, HOT = 400_000, 4000
+#: Rows of a block of the index's minima.
+_FAN = 64
+
+
+class _Bits:
+    """A bit vector: the bits, 64 to a word, and how many are set before each word."""
+
+    def __init__(self, on: np.ndarray):
+        self.packed = np.packbits(np.concatenate([on, np.zeros(-len(on) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed), dtype=np.int64)]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each place."""
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
 
 
 class FMIndex:
-    """An index of sequences of integers, for matches up to `window` long."""
+    """A compressed index of sequences of numbers, each with a value, for matches up to `window` (at most 254) long.
 
-    def __init__(self, sequences: list[np.ndarray], window: int):
+    It keeps a wavelet matrix of the Burrows-Wheeler transform, a byte for the prefix that a suffix shares
+    with the one before (cut at the window) with minima over blocks, and the least value of each distinct
+    window. The suffix array itself is let go.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], values: list[int], window: int):
         self.window = window
         size = np.array([len(s) for s in sequences], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
-        flat = np.concatenate(sequences) if sequences else np.zeros(0, np.uint64)
-        self.alphabet, dense = np.unique(flat, return_inverse=True)
-        n = len(flat) + len(size) + 1
-        text = np.ones(n, np.int64)  # 1 ends a sequence, 0 the text
+        self.size = n = int(size.sum()) + len(size)
+        text = np.zeros(n, np.int64)
         keep = np.ones(n, bool)
-        keep[(self.start + size).astype(np.int64)] = False
-        keep[-1] = False
-        text[keep] = dense + 2
-        text[-1] = 0
-        self.owner = np.repeat(np.arange(len(size) + 1), np.concatenate([size + 1, [1]]))
-        self.text, self.size = text, size
-        sa = self._sort(text)
-        self.order = self.owner[sa]
-        self._wavelet(text[sa - 1])
-
-    def _sort(self, text: np.ndarray) -> np.ndarray:
-        """The suffix array by prefix doubling; keeps the bounds of suffixes that agree in window and in window - 1 symbols."""
+        keep[np.cumsum(size + 1) - 1] = False
+        if n:
+            text[keep] = np.concatenate(sequences) + 1  # 0 ends a sequence
+        order, shared = self._sort(text, len(size))
+        self._wavelet(text[order - 1])
+        first = shared[:-1] < window
+        self._window = _Bits(first)
+        self.values, value = np.unique(np.array(values, np.int64), return_inverse=True)
+        owner = np.repeat(value, size + 1)[order]
+        self._least = np.minimum.reduceat(owner, np.flatnonzero(first)).astype(np.int32) if n else owner
+        self._tree = [shared]
+        while len(self._tree[-1]) > _FAN:
+            level = self._tree[-1]
+            level = np.append(level, np.full(-len(level) % _FAN, 255, np.uint8)).reshape(-1, _FAN)
+            self._tree[-1] = level
+            self._tree.append(level.min(axis=1))
+        self._tree[-1] = np.append(self._tree[-1], np.full(_FAN - len(self._tree[-1]), 255, np.uint8)).reshape(1, _FAN)
+
+    def _sort(self, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array by prefix doubling, each of the k ends a symbol of its own, and the lengths that neighbours share."""
         n = len(text)
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        ranks, length = {1: rank}, 1
-        while True:
-            after = np.zeros(n, np.int64)
-            after[: n - length] = rank[length:] + 1 if length < n else 0
-            key = rank * (n + 2) + after
-            sa = np.argsort(key, kind="stable")
-            sorted_key = key[sa]
-            rank = np.empty(n, np.int64)
-            rank[sa] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-            length *= 2
+        rank = text + k
+        rank[text == 0] = np.arange(k)
+        ranks, length = {}, 1
+        order = np.argsort(rank, kind="stable")
+        while n:
+            ordered = rank[order]
+            dense = np.empty(n, np.int64)
+            dense[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             if length <= self.window:
-                ranks[length] = rank
-            if rank[sa[-1]] == n - 1 and length >= self.window:
+                ranks[length] = dense
+            if dense[order[-1]] == n - 1:
                 break
-        self.bounds = {}
-        for depth in (self.window, self.window - 1):
-            new, at = np.zeros(n, bool), 0
-            new[0] = True
-            for p in sorted(ranks, reverse=True):
-                if depth & p:
-                    r = ranks[p][np.minimum(sa + at, n - 1)]
-                    new[1:] |= (r[1:] != r[:-1]) | (sa[1:] + at >= n) | (sa[:-1] + at >= n)
-                    at += p
-            first = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            self.bounds[depth] = (first, group, np.concatenate([first[1:], [n]]))
-        return sa
+            after = np.zeros(n, np.int64)
+            after[: max(0, n - length)] = dense[length:] + 1
+            rank = dense * (n + 1) + after
+            order, length = np.argsort(rank), 2 * length
+        shared = np.zeros(n + 1, np.int64)
+        a, b, at = order[:-1], order[1:], shared[1:-1]
+        for p in sorted(ranks, reverse=True):
+            inside = np.maximum(a, b) + at < n
+            r = ranks[p]
+            at += p * (inside & (r[np.minimum(a + at, n - 1)] == r[np.minimum(b + at, n - 1)]))
+        return order, np.minimum(shared, self.window).astype(np.uint8)
 
     def _wavelet(self, bwt: np.ndarray) -> None:
-        n, symbols = len(bwt), int(bwt.max()) + 1
+        n, symbols = len(bwt), int(bwt.max(initial=0)) + 1
         self.levels = []
         x = bwt
         for bit in range(max(1, (symbols - 1).bit_length()) - 1, -1, -1):
             on = (x >> bit & 1).astype(bool)
-            packed = np.packbits(np.concatenate([on, np.zeros(-n % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32)
-            self.levels.append((bit, packed, before, int(n - on.sum())))
+            self.levels.append((bit, _Bits(on), int(n - on.sum())))
             x = np.concatenate([x[~on], x[on]])
         # Where a symbol's suffixes start, less where its block starts below the last level.
         counts = np.bincount(bwt, minlength=symbols)
         block = np.zeros(symbols, np.int64)
-        present = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        present = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if n else np.zeros(0, np.int64)
         block[x[present]] = present
         self.shift = np.concatenate([[0], np.cumsum(counts)[:-1]]) - block
 
-    def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bounds of intervals, moved one symbol to the left."""
-        at = at.copy()
-        for bit, packed, before, zeros in self.levels:
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for bit, bits, zeros in self.levels:
+            ones = bits.rank(at)
             at = np.where(symbol >> bit & 1, zeros + ones, at - ones)
         return at + self.shift[symbol]
 
-    def codes(self, sequence: np.ndarray) -> np.ndarray:
-        """Symbols of a sequence; -1 where the index doesn't have one."""
-        if not len(self.alphabet):
-            return np.full(len(sequence), -1)
-        at = np.minimum(np.searchsorted(self.alphabet, sequence), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == sequence, at + 2, -1)
+    def _nearest(self, at: np.ndarray, depth: np.ndarray, left: bool) -> np.ndarray:
+        """The nearest bound at or beyond each that shares less than depth with its neighbour."""
+        out = at.copy()
+        todo = np.flatnonzero(self._tree[0][at // _FAN, at % _FAN] >= depth)
+        node, level, column = at[todo], 0, np.arange(_FAN)
+        while len(todo):
+            own, d = (node % _FAN)[:, None], depth[todo][:, None]
+            hit = (self._tree[level][node // _FAN] < d) & (column < own if left else column > own)
+            some = hit.any(axis=1)
+            place = lambda h: _FAN - 1 - h[:, ::-1].argmax(axis=1) if left else h.argmax(axis=1)
+            found = node[some] // _FAN * _FAN + place(hit[some])
+            for below in range(level - 1, -1, -1):
+                found = found * _FAN + place(self._tree[below][found] < d[some])
+            out[todo[some]] = found
+            todo, node, level = todo[~some], node[~some] // _FAN, level + 1
+        return out
+
+    def _widened(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of what the given ones share up to that depth."""
+        lo, hi, some = np.where(depth, lo, 0), np.where(depth, hi, self.size), np.flatnonzero(depth)
+        lo[some], hi[some] = self._nearest(lo[some], depth[some], True), self._nearest(hi[some], depth[some], False)
+        return lo, hi
 
-    def matches(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """For each window of each sequence the left end of its interval of occurrences, -1 if there is none.
+    def _shared(self, at: np.ndarray) -> np.ndarray:
+        return self._tree[0][at // _FAN, at % _FAN].astype(np.int64)
 
-        All sequences go from right to left in step. A window found is shortened by its last symbol, by
-        the bounds of what agrees in one symbol less; one not found is searched for anew.
+    def statistics(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each place of each sequence: (length of the longest match that starts there, at most the window; its interval's left end).
+
+        Negative numbers match nothing. All sequences go from right to left in step. Where a match can't
+        be continued, it is shortened to what its interval shares with a neighbour, until it can.
         """
-        w, out = self.window, [np.full(max(0, len(s) - self.window + 1), -1, np.int64) for s in sequences]
-        live = [i for i, s in enumerate(sequences) if len(s) >= w]
-        live.sort(key=lambda i: -len(sequences[i]))
-        if not live or not self.levels:
-            return out
-        code = [self.codes(sequences[i]) for i in live]
-        size = np.array([len(c) for c in code])
-        flat, start = np.concatenate(code), np.concatenate([[0], np.cumsum(size)[:-1]])
-        found = np.full(len(flat), -1, np.int64)
-        first, group, last = self.bounds[w - 1]
-        lo, hi, have = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64), np.zeros(len(live), np.int64)
-        for t in range(1, int(size[0]) + 1):
+        live = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        size = np.array([len(sequences[i]) for i in live], np.int64)
+        start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        length, left = np.zeros(int(start[-1]), np.uint8), np.zeros(int(start[-1]), np.int32)
+        flat = np.concatenate([sequences[i] for i in live]) + 1 if len(length) else np.zeros(0, np.int64)
+        lo, hi, have = np.zeros(len(live), np.int64), np.full(len(live), self.size, np.int64), np.zeros(len(live), np.int64)
+        for t in range(1, int(size[0]) + 1 if len(length) and self.size else 1):
             n = int(np.searchsorted(-size, -t, "right"))
-            symbol = flat[start[:n] + size[:n] - t]
-            full = have[:n] == w
-            if full.any():
-                g = group[lo[:n][full]]
-                lo[:n][full], hi[:n][full] = first[g], last[g]
-                have[:n][full] = w - 1
-            ok = symbol >= 0
-            s = np.where(ok, symbol, 0)
-            a, b = self.step(s, lo[:n]), self.step(s, hi[:n])
-            ok &= a < b
-            # What doesn't match there can match no window that ends there; go on from the next end to the left.
-            retry = np.flatnonzero(~ok & (have[:n] > 0))
-            lo[:n], hi[:n], have[:n] = np.where(ok, a, 0), np.where(ok, b, len(self.text)), np.where(ok, have[:n] + 1, 0)
-            for i in retry:
-                self._restart(flat, start[i], size[i], t, i, lo, hi, have)
-            hit = np.flatnonzero(have[:n] == w)
-            found[start[hit] + size[hit] - t] = lo[hit]
+            at = start[:n] + size[:n] - t
+            full = np.flatnonzero(have[:n] == self.window)
+            have[full] -= 1
+            lo[full], hi[full] = self._widened(lo[full], hi[full], have[full])
+            lost = (flat[at] <= 0) | (flat[at] >= len(self.shift))
+            lo[:n][lost], hi[:n][lost], have[:n][lost] = 0, self.size, 0
+            todo = np.flatnonzero(~lost)
+            while len(todo):
+                symbol = flat[at[todo]]
+                a, b = self._step(symbol, lo[todo]), self._step(symbol, hi[todo])
+                ok = a < b
+                lo[todo[ok]], hi[todo[ok]], have[todo[ok]] = a[ok], b[ok], have[todo[ok]] + 1
+                todo = todo[~ok]
+                todo = todo[have[todo] > 0]
+                have[todo] = np.maximum(self._shared(lo[todo]), self._shared(hi[todo]))
+                lo[todo], hi[todo] = self._widened(lo[todo], hi[todo], have[todo])
+            length[at], left[at] = have[:n], lo[:n]
+        out: list = [None] * len(live)
         for k, i in enumerate(live):
-            out[i][:] = found[start[k] : start[k] + len(out[i])]
+            out[i] = (length[start[k] : start[k + 1]], left[start[k] : start[k + 1]])
         return out
 
-    def _restart(self, flat, start, size, t, i, lo, hi, have) -> None:
-        """The longest match that starts t symbols from the end and is shorter than the one that failed."""
-        at, best = start + size - t, None
-        for length in range(1, min(t, self.window) + 1):
-            a, b = np.zeros(1, np.int64), np.full(1, len(self.text), np.int64)
-            for p in range(at + length - 1, at - 1, -1):
-                if flat[p] < 0:
-                    a, b = b, a
-                    break
-                s = flat[p : p + 1]
-                a, b = self.step(s, a), self.step(s, b)
-                if a[0] >= b[0]:
-                    break
-            if a[0] >= b[0]:
-                break
-            best = (a[0], b[0], length)
-        lo[i], hi[i], have[i] = best or (0, len(self.text), 0)
-
-    def least(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(group of each place in suffix order, least value of the sequences that a group of equal windows lies in)."""
-        first, group, _ = self.bounds[self.window]
-        return group, np.minimum.reduceat(np.append(values, np.iinfo(np.int64).max)[self.order], first)
+    def least(self, left: np.ndarray) -> np.ndarray:
+        """The least value of the sequences that have the windows whose intervals start there."""
+        return self.values[self._least[self._window.rank(left.astype(np.int64))]]
 
 
 def plain(text: str | None) -> bytes:
@@ -184,117 +196,147 @@ def plain(text: str | None) -> bytes:
 def anchored(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR):
     """(anchor, first window, end of windows) of each run of windows with one anchor."""
     if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = ngram_hashes(words, size)
     views = np.lib.stride_tricks.sliding_window_view(grams, window - size + 1)
     at = np.concatenate([views[a : a + 8192].argmin(axis=1) + np.arange(a, min(a + 8192, len(views))) for a in range(0, len(views), 8192)])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[first]], first, np.append(first[1:], len(at))
+    return grams[at[first]].astype(np.int64), first, np.append(first[1:], len(at))
 
 
-def _digest(words: np.ndarray) -> bytes:
-    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+def _digest(words: bytes) -> bytes:
+    """128 bits of the BLAKE2b hash of words with one space between, for which no two different texts are known to be equal."""
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def first_documents(stretches, window: int):
-    """For stretches (digest, words, least document) of a shard: (digest, runs), a run being (first window, end, first document that has these windows)."""
-    index = FMIndex([s[1] for s in stretches], window)
-    group, least = index.least(np.array([s[2] for s in stretches], np.int64))
-    for (digest, _, _), lo in zip(stretches, index.matches([s[1] for s in stretches]), strict=True):
-        doc = least[group[lo]]
-        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        yield digest, cut, np.append(cut[1:], len(doc)), doc[cut]
+    """For stretches (digest, words, least document, whether indexed, whether streamed) of a shard: (digest, runs).
+
+    A run is (first window, end, first document that has these windows); windows that no indexed stretch
+    has are in none.
+    """
+    numbers, split = Numbers(), [s[1].split(b" ") for s in stretches]
+    indexed = [(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)), s[2]) for s, w in zip(stretches, split, strict=True) if s[3]]
+    index = FMIndex([c for c, _ in indexed], [v for _, v in indexed], window)
+    del indexed
+    streamed = [i for i, s in enumerate(stretches) if s[4]]
+    codes = [np.fromiter((numbers.get(x, -1) for x in split[i]), np.int64, len(split[i])) for i in streamed]
+    for i, (length, left) in zip(streamed, index.statistics(codes), strict=True):
+        at = np.flatnonzero(length == window)
+        if len(at):
+            doc = index.least(left[at])
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+            yield stretches[i][0], at[new], at[np.append(new[1:], len(at)) - 1] + 1, doc[new]
+
+
+_NULL = (1 << 63) - 1
+
+
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(_id, _doc, _h, _text): a row is known by its id, null as the largest bigint, and a hash of its text, so that rows that share an id can be dealt out."""
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    return rows.withColumns({"_doc": F.coalesce("_id", F.lit(_NULL)), "_h": F.xxhash64("_text")})
 
 
 def repeated_words(docs: DataFrame, id="doc_id", text="text", window: int = WINDOW, size: int = ANCHOR, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
-    """(_doc, _seq, spans): for documents with them, the spans [start, end) of words to remove.
+    """(_doc, _h, _seq, spans): for documents with them, the spans [start, end) of words to remove.
 
-    _doc is the id, null as the largest bigint; _seq is a digest of the words, so that rows that share an
-    id are told apart. Copies of a whole document are settled by its digest; the first of them stands for all.
+    _doc and _h are those of _keyed(); _seq is a digest of the words, which tells rows apart that share both.
+    Copies of a whole document are settled by its digest; the first of them stands for all.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
 
     def sign(batches):
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
-                words = word_hashes(plain(t))
-                rows.append((_digest(words), len(words), np.unique(anchored(words, window, size)[0]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["_doc", "_seq", "_n", "_anchors"])
-
-    base = docs.select(F.coalesce(F.col(id), F.lit((1 << 63) - 1)).alias("_doc"), F.col(text).alias("_text"))
-    signed = written(base.mapInArrow(sign, "_doc bigint, _seq binary, _n bigint, _anchors array<bigint>").filter(F.col("_n") >= window), "anchors")
+            for t in batch.column(2).to_pylist():
+                data = plain(t)
+                words = data.split()
+                anchors, runs = np.unique(anchored(word_hashes(words), window, size)[0], return_counts=True)
+                rows.append((_digest(data), len(words), anchors, runs))
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["_doc", "_h", "_seq", "_n", "_anchors", "_runs"])
+
+    base = _keyed(docs, id, text).select("_doc", "_h", "_text")
+    signed = base.mapInArrow(sign, "_doc bigint, _h bigint, _seq binary, _n bigint, _anchors array<bigint>, _runs array<bigint>")
+    signed = written(signed.filter(F.col("_n") >= window), "anchors")
     firsts = written(signed.groupBy("_seq").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1").select("_seq", "_first"), "copies")
-    copies = signed.select("_doc", "_seq", "_n").join(firsts, "_seq").filter("_doc > _first").select("_doc", "_seq", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_n").alias("end"))).alias("spans")).distinct()
-    alone = signed.join(firsts, "_seq", "left").filter("_first is null or _doc = _first").select("_doc", "_seq", F.explode("_anchors").alias("_anchor"))
-    shared = written(alone.groupBy("_anchor").agg(F.min("_doc").alias("a"), F.max("_doc").alias("b"), F.count(F.lit(1)).alias("_n")).filter("a < b").select("_anchor", "_n"), "shared-anchors")
-    wanted = alone.join(shared, "_anchor").groupBy("_doc", "_seq").agg(F.collect_set(F.struct("_anchor", (F.col("_n") > hot).alias("_hot"))).alias("_wanted"))
+    copies = signed.select("_doc", "_h", "_seq", "_n").join(firsts, "_seq").filter("_doc > _first").select("_doc", "_h", "_seq", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_n").alias("end"))).alias("spans")).distinct()
+    alone = signed.join(firsts, "_seq", "left").filter("_first is null or _doc = _first").select("_doc", "_h", F.explode(F.arrays_zip("_anchors", "_runs")).alias("a")).select("_doc", "_h", F.col("a._anchors").alias("_anchor"), F.col("a._runs").alias("_runs"))
+    shared = alone.groupBy("_anchor").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), F.sum("_runs").alias("n")).filter("lo < hi")
+    shared = written(shared.select("_anchor", "lo", "hi", (F.col("n") > hot).alias("hot")), "shared-anchors")
+    wanted = alone.join(shared, "_anchor").groupBy("_doc", "_h").agg(F.collect_set(F.struct("_anchor", "lo", "hi", "hot")).alias("_wanted"))
     # The text moves once, to the few anchors that it shares.
-    wanted = wanted.groupBy("_doc").agg(F.flatten(F.collect_list("_wanted")).alias("_wanted"))
-    work = base.join(wanted.hint("shuffle_hash"), "_doc").select("_doc", "_text", "_wanted._anchor", "_wanted._hot")
+    work = base.join(wanted.hint("shuffle_hash"), ["_doc", "_h"]).select("_doc", "_h", "_text", "_wanted._anchor", "_wanted.lo", "_wanted.hi", "_wanted.hot")
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for doc, t, keys, hots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, keys = plain(t), dict(zip(keys, hots, strict=True))
-                words = word_hashes(data)
-                anchors, first, end = anchored(words, window, size)
-                anchors = anchors.astype(np.int64)
-                pick = np.flatnonzero(np.isin(anchors, np.fromiter(keys, np.int64, len(keys))))
-                if not len(pick):
-                    continue
-                seq, parts = _digest(words), data.split(b" ")
-                for k in pick:
-                    a, b = int(first[k]), int(end[k])
-                    runs = [(i, i + 1) for i in range(a, b)] if keys[int(anchors[k])] else [(a, b)]
-                    for i, j in runs:
-                        digest = _digest(words[i : j + window - 1])
-                        key = int.from_bytes(digest[:8], "little", signed=True) if len(runs) > 1 else int(anchors[k])
-                        rows.append((key, digest, b" ".join(parts[i : j + window - 1]), doc, seq, i))
-                if len(rows) > 4000:
-                    yield stretch_batch(rows)
-                    rows = []
+            for doc, h, t, *keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, known = plain(t), dict(zip(keys[0], zip(*keys[1:], strict=True), strict=True))
+                parts = data.split()
+                anchors, first, end = anchored(word_hashes(parts), window, size)
+                pick = np.flatnonzero(np.isin(anchors, np.array(keys[0], np.int64)))
+                seq = _digest(data)
+                for k in pick.tolist():
+                    a, b, key = int(first[k]), int(end[k]), int(anchors[k])
+                    lo, hi, is_hot = known[key]
+                    words = b" ".join(parts[a : b + window - 1])
+                    windows = [_digest(b" ".join(parts[i : i + window])) for i in range(a, b)] if is_hot else None
+                    rows.append((key, _digest(words), words, doc, h, seq, a, doc < hi, doc > lo, windows))
+                    if len(rows) > 4000:
+                        yield stretch_batch(rows)
+                        rows = []
             if rows:
                 yield stretch_batch(rows)
 
     def stretch_batch(rows):
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["_key", "_digest", "_words", "_doc", "_seq", "_at"])
-
-    stretches = written(work.mapInArrow(cut, "_key bigint, _digest binary, _words binary, _doc bigint, _seq binary, _at bigint"), "stretches")
-    distinct = written(stretches.groupBy("_key", "_digest", "_words").agg(F.min("_doc").alias("_least")), "distinct-stretches")
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["_key", "_digest", "_words", "_doc", "_h", "_seq", "_at", "_in", "_out", "_windows"])
+
+    stretches = written(work.mapInArrow(cut, "_key bigint, _digest binary, _words binary, _doc bigint, _h bigint, _seq binary, _at bigint, _in boolean, _out boolean, _windows array<binary>"), "stretches")
+    plain_ones = stretches.filter("_windows is null")
+    # What one document has in front of the others' is indexed, what one has behind others' is streamed.
+    distinct = plain_ones.groupBy("_key", "_digest", "_words").agg(F.min("_doc").alias("_least"), F.max("_in").alias("_in"), F.max("_out").alias("_out"))
+    places = plain_ones.filter("_out").select("_digest", "_doc", "_h", "_seq", "_at")
+    if not shared.filter("hot").isEmpty():
+        # Of a hot anchor only digests of windows move, until it is known which ones several documents have. Each of
+        # these moves once, keyed by its own content, so that no shard gets all that share an anchor.
+        row = ["_doc", "_h", "_seq", "_at"]
+        each = stretches.filter("_windows is not null").select(*row, F.posexplode("_windows").alias("_k", "_digest"))
+        common = written(each.groupBy("_digest").agg(F.min(F.struct(*row, "_k")).alias("m"), F.max("_doc").alias("_last")).filter("m._doc < _last").select("_digest", "m.*"), "hot-windows")
+        words = F.array_join(F.slice(F.split(F.col("_words").cast("string"), " "), F.col("_k") + 1, F.lit(window)), " ").cast("binary")
+        once = common.join(stretches.filter("_windows is not null").select(*row, "_words"), row).select(F.xxhash64("_digest").alias("_key"), "_digest", words.alias("_words"), F.col("_doc").alias("_least"), F.lit(True).alias("_in"), F.lit(True).alias("_out"))
+        distinct = distinct.unionByName(once.dropDuplicates(["_digest"]))
+        later = each.join(common.select("_digest", F.col("_doc").alias("_first")), "_digest").filter("_doc > _first")
+        places = places.unionByName(later.select("_digest", "_doc", "_h", "_seq", (F.col("_at") + F.col("_k")).alias("_at")))
+    distinct = written(distinct, "distinct-stretches")
     total = distinct.agg(F.sum(F.octet_length("_words"))).first()[0] or 0
     shards = max(1, total // (6 * shard_words) + 1)
-    sharded = distinct.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).select("_shard", "_digest", "_words", "_least").repartition(F.col("_shard")).sortWithinPartitions("_shard")
+    sharded = distinct.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).select("_shard", "_digest", "_words", "_least", "_in", "_out").repartition(F.col("_shard")).sortWithinPartitions("_shard")
 
     def search(batches):
         shard, rows = None, []
 
-        def out():
-            for digest, a, b, doc in first_documents(rows, window):
-                yield digest, a, b, doc
-
-        def batch_of(found):
-            cols = [*zip(*found, strict=True)]
+        def found():
+            cols = [*zip(*first_documents(rows, window), strict=True)] or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary())] + [pa.array(c, pa.list_(pa.int64())) for c in cols[1:]], ["_digest", "a", "b", "doc"])
 
         for batch in batches:
-            for s, digest, data, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard and rows:
-                    yield batch_of([*out()])
+                    yield found()
                     rows = []
                 shard = s
-                rows.append((digest, word_hashes(data), doc))
+                rows.append(row)
         if rows:
-            yield batch_of([*out()])
+            yield found()
 
     runs = sharded.mapInArrow(search, "_digest binary, a array<bigint>, b array<bigint>, doc array<bigint>")
     runs = written(runs.select("_digest", F.explode(F.arrays_zip("a", "b", "doc")).alias("r")).select("_digest", "r.*"), "runs")
-    found = stretches.select("_digest", "_doc", "_seq", "_at").join(runs, "_digest").filter("doc < _doc")
-    spans = found.select("_doc", "_seq", F.struct((F.col("_at") + F.col("a")).alias("start"), (F.col("_at") + F.col("b") - 1 + window).alias("end")).alias("s"))
-    return spans.groupBy("_doc", "_seq").agg(F.sort_array(F.collect_set("s")).alias("spans")).unionByName(copies)
+    found = places.join(runs, "_digest").filter("doc < _doc")
+    spans = found.select("_doc", "_h", "_seq", F.struct((F.col("_at") + F.col("a")).alias("start"), (F.col("_at") + F.col("b") - 1 + window).alias("end")).alias("s"))
+    return spans.groupBy("_doc", "_h", "_seq").agg(F.sort_array(F.collect_set("s")).alias("spans")).unionByName(copies)
 
 
 def substring_dedup(docs: DataFrame, id="doc_id", text="text", window: int = WINDOW, **options) -> DataFrame:
@@ -305,9 +347,8 @@ def substring_dedup(docs: DataFrame, id="doc_id", text="text", window: int = WIN
     ids take nothing from each other; a null id counts as the largest. Other columns are ignored.
     """
     spans = repeated_words(docs, id, text, window, **options)
-    by_doc = written(spans.groupBy("_doc").agg(F.collect_list(F.struct("_seq", "spans")).alias("_spans")), "spans")
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_key", F.coalesce("_id", F.lit((1 << 63) - 1))).join(by_doc.withColumnRenamed("_doc", "_key").hint("shuffle_hash"), "_key", "left").select("_id", "_text", "_spans")
+    by_row = written(spans.groupBy("_doc", "_h").agg(F.collect_list(F.struct("_seq", "spans")).alias("_spans")), "spans")
+    rows = _keyed(docs, id, text).join(by_row.hint("shuffle_hash"), ["_doc", "_h"], "left").select("_id", "_text", "_spans")
 
     def remove(batches):
         for batch in batches:
@@ -316,10 +357,10 @@ def substring_dedup(docs: DataFrame, id="doc_id", text="text", window: int = WIN
                 data, gone = plain(t), 0
                 n = data.count(b" ") + 1 if data else 0
                 if known and n >= window:
-                    seq = _digest(word_hashes(data))
+                    seq = _digest(data)
                     for own in known:
                         if own["_seq"] == seq:
-                            parts, end, kept = data.split(b" "), 0, []
+                            parts, end, kept = data.split(), 0, []
                             for s in own["spans"]:
                                 kept += parts[end : max(end, s["start"])]
                                 gone += max(0, s["end"] - max(end, s["start"]))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from test_substring_dedup import thue_morse
 
 from shardloom.llm import components as C
 from shardloom.llm import hashing as H
@@ -41,14 +42,34 @@ def corpus(seed=3, families=12):
 
 
 def test_hashes_tell_words_apart():
-    words = "the cat  sat\ton\nthe\x0bmat é\xa0x the".encode()
-    h = H.word_hashes(words).tolist()
+    h = H.word_hashes("the cat  sat\ton\nthe\x0bmat é\xa0x the".encode().split()).tolist()
     assert len(h) == 8 and h[0] == h[4] == h[7] and len(set(h)) == 6
-    assert len(H.word_hashes(b"")) == 0 and len(H.word_hashes(b" \n")) == 0
-    rng = random.Random(0)
-    many = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(5000)]
-    h = H.word_hashes(" ".join(many).encode()).tolist()
-    assert len(set(h)) == len(set(many)) and len(set(zip(many, h, strict=True))) == len(set(many))
+    assert len(H.word_hashes([])) == 0
+    a, b = thue_morse()
+    assert len(set(H.word_hashes([a.encode(), b.encode()]).tolist())) == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6])
+def test_gram_numbers_match_brute_force(n):
+    rng = random.Random(n)
+    texts = [[rng.choice([b"a", b"b", b"cc"]) for _ in range(rng.randint(0, 9))] for _ in range(200)] + [[]]
+    number, start = H.gram_numbers(texts, n)
+    known = {}
+    for t, a, b in zip(texts, start.tolist(), start[1:].tolist(), strict=False):
+        want = [tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))] if t else []
+        assert len(want) == b - a
+        for w, got in zip(want, number[a:b].tolist(), strict=True):
+            assert known.setdefault(w, got) == got
+    assert len(set(known.values())) == len(known)
+    assert len(H.gram_numbers([], n)[0]) == 0
+
+
+def test_words_are_compared_and_not_their_hashes(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{i}" for i in range(8))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{rest} {b}"), (4, f"{rest} {b}"), (5, a), (6, b)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_grams) for r in J.jaccard_join(docs).collect()) == [(1, 1, 0, 5), (2, 2, 0, 5), (3, 3, 1, 5), (4, 3, 1, 5), (5, 5, 0, 1), (6, 6, 0, 1)]
+    assert [x.tolist() for x in J.linked([g for g, _ in J.gram_sets([[a.encode()], [b.encode()]])], None, 0.8)] == [[False, False], [False, False]]
 
 
 def test_bands_reach_the_recall():

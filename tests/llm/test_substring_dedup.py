@@ -61,19 +61,68 @@ def test_small_window_and_empty(spark):
     assert S.substring_dedup(docs.limit(0)).count() == 0
 
 
+def prefixes(window, rows):
+    where = {}
+    for d, s in rows:
+        for k in range(len(s)):
+            for n in range(1, min(window, len(s) - k) + 1):
+                key = tuple(s[k : k + n].tolist())
+                where[key] = min(d, where.get(key, d))
+    return where
+
+
 @pytest.mark.parametrize("letters", [2, 3, 50])
 def test_index_matches_brute_force(letters):
     rng = np.random.default_rng(letters)
     for _ in range(15):
-        seqs = [rng.integers(0, letters, rng.integers(0, 40)).astype(np.uint64) for _ in range(rng.integers(1, 12))]
-        asked = seqs + [rng.integers(0, letters + 1, rng.integers(0, 40)).astype(np.uint64) for _ in range(6)]
+        seqs = [rng.integers(0, letters, rng.integers(0, 90)) for _ in range(rng.integers(0, 12))]
+        asked = seqs + [rng.integers(-1, letters + 1, rng.integers(0, 90)) for _ in range(6)]
+        values = rng.permutation(len(seqs)).tolist()
         for w in (2, 5, 8):
-            index = S.FMIndex(seqs, w)
-            group, least = index.least(np.arange(len(seqs)))
-            where = {}
-            for d, s in enumerate(seqs):
-                for k in range(len(s) - w + 1):
-                    where.setdefault(tuple(s[k : k + w].tolist()), d)
-            for s, lo in zip(asked, index.matches(asked), strict=True):
-                got = [int(least[group[x]]) if x >= 0 else None for x in lo]
-                assert got == [where.get(tuple(s[k : k + w].tolist())) for k in range(max(0, len(s) - w + 1))]
+            index = S.FMIndex(seqs, values, w)
+            where = prefixes(w, zip(values, seqs, strict=True))
+            for s, (length, left) in zip(asked, index.statistics(asked), strict=True):
+                for k in range(len(s)):
+                    n = max((n for n in range(1, min(w, len(s) - k) + 1) if tuple(s[k : k + n].tolist()) in where), default=0)
+                    assert length[k] == n
+                    if n == w:
+                        assert index.least(left[k : k + 1])[0] == where[tuple(s[k : k + w].tolist())]
+
+
+def test_large_index_widens_over_all_levels():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 3, 60)
+    seqs = [np.concatenate([rng.integers(0, 3, rng.integers(0, 4)), base[: rng.integers(20, 61)], rng.integers(0, 3, 9)]) for _ in range(400)]
+    index, where = S.FMIndex(seqs, [*range(400)], 12), prefixes(12, enumerate(seqs))
+    assert len(index._tree) == 3
+    for s, (length, left) in zip(seqs[::9], index.statistics(seqs)[::9], strict=True):
+        for k in range(len(s) - 11):
+            assert length[k] == 12 and index.least(left[k : k + 1])[0] == where[tuple(s[k : k + 12].tolist())]
+    for length, _ in index.statistics([np.full(40, 7), np.zeros(0, np.int64)]):
+        assert not length.any()
+
+
+def thue_morse():
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_compared_and_not_their_hashes(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest} end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in S.substring_dedup(docs).collect()) == [(1, 50, 0), (2, 50, 0), (3, 51, 50)]
+    stretches = [(bytes([i]), S.plain(t), i, True, True) for i, t in rows]
+    assert {(d[0], tuple(doc)) for d, _, _, doc in S.first_documents(stretches, 50)} == {(1, (1,)), (2, (2,)), (3, (2, 3))}
+
+
+def test_many_null_ids_and_a_document_that_repeats_an_anchor(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"n{i} {line}") for i in range(30)] + [(1, " ".join(f"x{i} {line}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for hot in (10, 4000):
+        got = sorted((r.doc_id is None, r.n_words, r.n_removed) for r in S.substring_dedup(docs, hot=hot).collect())
+        assert got == [(False, 40 * 61, 0)] + [(True, 61, 60)] * 30
