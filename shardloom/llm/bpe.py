@@ -1,7 +1,7 @@
 """BPE encoding and decoding: merge ranks in a priority queue over a doubly linked symbol list.
 
 A text is taken apart at its white space; what stands between is encoded once and kept in a worker's
-cache of bounded size. Tokenizer files are the public .json ones, read by the driver and broadcast
+cache of bounded bytes. Tokenizer files are the public .json ones, read by the driver and broadcast
 (their size is checked); they are never trained or written here.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import small_batches, table
 
 MAX_FILE = 64 << 20
+#: Bytes of a generation of a worker's cache, about, and characters of its longest key.
+CACHE_BYTES, LONGEST = 32 << 20, 128
 #: What Unicode calls white space; Python's str.split() also splits at U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
 _NOT_SPACE = re.compile(f"[^{SPACE}]+")
@@ -46,18 +48,25 @@ def byte_alphabet() -> list[str]:
 
 
 class Cache(dict):
-    """Calls make(key) for a missing key; of the last two generations of `most` keys, none is made again."""
+    """Calls make(key) for a missing key, a string or bytes; of the last two generations none is made again.
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+    A generation ends when it has about `most` bytes. Keys longer than LONGEST are made each time.
+    """
+
+    def __init__(self, make, most: int = CACHE_BYTES):
+        self.make, self.most, self.old, self.size = make, most, {}, 0
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if self.size >= self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
+        # An entry of a table, a key and a value, of at most four bytes a character.
+        self.size += 200 + 8 * len(key)
         self[key] = value
         return value
 
@@ -70,7 +79,7 @@ def words(text: str) -> list[str]:
 class WordBPE:
     """A lower-casing BPE with word ends, from the bytes of its tokenizer file."""
 
-    def __init__(self, data: bytes, most: int = 200_000):
+    def __init__(self, data: bytes, most: int = CACHE_BYTES):
         spec = json.loads(data)
         model = spec["model"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -97,7 +106,7 @@ class WordBPE:
     def merge(self, symbols: list[int]) -> list[int]:
         """Applies the merges in order of rank, the leftmost of equals first."""
         n, merges = len(symbols), self.merges
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
         heap = []
         for i, (a, b) in enumerate(pairwise(symbols)):
             if m := merges.get(a << _POS | b):
@@ -168,7 +177,11 @@ def loaded(kind, data):
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id="doc_id", text="text") -> DataFrame:
-    """For each row: id, ids (binary, little-endian unsigned 32-bit) and decoded. Null text counts as empty."""
+    """For each row: id, ids (binary, little-endian unsigned 32-bit) and decoded.
+
+    Null text counts as empty, which has no ids and decodes to an empty string. Ids may be null or repeat,
+    each row is encoded by itself; an empty table gives an empty one. Other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
     key = docs.schema[id]
@@ -189,7 +202,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, id="doc_id", text="text") -> DataFrame:
-    """encode_documents() with the ids and the decoded text as their SHA-256, hashed where they are made."""
+    """encode_documents() with the ids and the decoded text as their SHA-256, hashed where they are made.
+
+    Nulls, repeated rows, empty tables and other columns are as there.
+    """
     small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(tokenizer_file(tokenizer))
 

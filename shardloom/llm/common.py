@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most that many rows: a batch of very long texts must fit in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Arrow batches of at most that many rows, and bytes, but for a single row that has more: a batch must fit in a Python worker.
+
+    The session keeps the settings, as its plans read them when they run; lower ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key, str((1 << 31) - 1)))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def ascii_lower(col):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import WordBPE, byte_alphabet, loaded, tokenizer_file
+from .bpe import CACHE_BYTES, WordBPE, byte_alphabet, loaded, tokenizer_file
 from .common import small_batches, table, written
 
 CAP = 2048
@@ -30,7 +30,7 @@ Plan = list[tuple[tuple[int, ...], int]]
 class LibraryWordBPE(WordBPE):
     """Ids by the library's model; pre-tokens and their cache as in WordBPE."""
 
-    def __init__(self, data: bytes, most: int = 200_000):
+    def __init__(self, data: bytes, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         super().__init__(data, most)

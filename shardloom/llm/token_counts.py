@@ -2,8 +2,9 @@
 
 A first pass counts the pre-tokens of all documents where they stand; each partition keeps a summary of
 bounded size, and summaries are merged in two steps. The most frequent ones, with their numbers of
-tokens, form a compact table of bounded size that is broadcast. The second pass adds up lengths from
-that table; what it lacks is encoded by the library once and kept in the worker's cache.
+tokens, form a compact table that is broadcast, filled up to a bound in entries and in bytes. The second
+pass adds up lengths from that table; what it lacks is encoded by the library once and kept in the worker's
+cache, or each time if it is long. So the table says what is looked up where, and never what is counted.
 
 A pre-token here is a maximal run that the tokenizer's own pattern never crosses: an optional space and
 what follows up to the next white space, or a run of white space.
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SPACE, Cache, byte_alphabet, loaded, tokenizer_file
+from .bpe import CACHE_BYTES, LONGEST, SPACE, Cache, byte_alphabet, loaded, tokenizer_file
 from .common import small_batches, table, written
 
-#: The table's entries at most, and the bytes of its packed form at most.
-FREQUENT, MAX_TABLE = 16_384, 4 << 20
-#: Distinct pre-tokens that a partition counts at once; beyond it the rarer half is let go.
+#: The table's entries at most, and the bytes of their strings at most.
+FREQUENT, MAX_TABLE = 16_384, 1 << 20
+#: Distinct pre-tokens that a partition counts at once, of LONGEST characters at most; beyond it the rarer half is let go.
 COUNTED = 200_000
 _RUN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
@@ -36,7 +37,7 @@ _RUN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 class Lengths:
     """Numbers of tokens of pre-tokens, by the library's byte-level BPE model."""
 
-    def __init__(self, data: bytes, most: int = 200_000):
+    def __init__(self, data: bytes, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         spec = json.loads(data)
@@ -86,17 +87,32 @@ def _halved(counts: Counter, most: int) -> Counter:
     return counts if len(counts) <= most else Counter(dict(counts.most_common(most // 2)))
 
 
+def filled(counts: Counter, most: int, size: int = MAX_TABLE) -> dict[str, int]:
+    """The most frequent ones with their counts, as many as `most` and as `size` bytes of strings allow."""
+    out = {}
+    for t, n in counts.most_common(most):
+        size -= len(t.encode("utf-8", "surrogatepass"))
+        if size < 0:
+            break
+        out[t] = n
+    return out
+
+
 def frequent_pretokens(docs: DataFrame, text="text", most: int = FREQUENT) -> dict[str, int]:
-    """About the `most` most frequent pre-tokens of all documents; which ones only affects speed."""
+    """About the `most` most frequent pre-tokens of all documents that aren't long; which ones only affects speed."""
+
+    def summary(part, counts):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(filled(counts, most))], pa.binary())], ["part", "summary"])
 
     def count(batches):
         counts: Counter = Counter()
         for batch in batches:
+            own: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                counts.update(_RUN.findall(t or ""))
-                if len(counts) > COUNTED:
-                    counts = _halved(counts, COUNTED)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(dict(counts.most_common(most)))], pa.binary())], ["part", "summary"])
+                own.update(_RUN.findall(t or ""))
+            counts.update({t: n for t, n in own.items() if len(t) <= LONGEST})
+            counts = _halved(counts, COUNTED)
+        yield summary(TaskContext.get().partitionId(), counts)
 
     def merge(batches):
         counts: Counter = Counter()
@@ -104,7 +120,7 @@ def frequent_pretokens(docs: DataFrame, text="text", most: int = FREQUENT) -> di
             for s in batch.column("summary").to_pylist():
                 counts.update(unpack(s))
                 counts = _halved(counts, 4 * COUNTED)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pack(dict(counts.most_common(most)))], pa.binary())], ["part", "summary"])
+        yield summary(0, counts)
 
     kind = "part int, summary binary"
     parts = written(docs.select(text).mapInArrow(count, kind), "pretoken-counts")
@@ -120,15 +136,14 @@ def token_counts(docs: DataFrame, tokenizer: str, id="doc_id", text="text", limi
     """For each row: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     No begin, end or added special tokens, truncation or padding; special strings inside a text count as
-    the library counts them by default. Null text counts as empty. Ids may be null or repeat.
+    the library counts them by default. Null text counts as empty. Ids may be null or repeat; an empty table
+    gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     data = tokenizer_file(tokenizer)
     lengths = Lengths(data)
     packed = pack({t: lengths._length(t) for t in frequent_pretokens(docs, text, most)})
-    if len(packed) > MAX_TABLE:
-        raise ValueError(f"the table of frequent pre-tokens has {len(packed)} bytes, too many to broadcast")
     data, frequent = spark.sparkContext.broadcast(data), spark.sparkContext.broadcast(packed)
 
     def run(batches):

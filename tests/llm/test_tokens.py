@@ -49,9 +49,16 @@ def test_encode_decode(odd_texts):
 
 def test_cache_generations():
     made = []
-    c = bpe.Cache(lambda k: made.append(k) or k, 2)
-    assert [c[k] for k in [1, 2, 1, 3, 1, 4, 5, 6, 7, 1]] == [1, 2, 1, 3, 1, 4, 5, 6, 7, 1]
-    assert len(c) <= 2 and len(c.old) <= 2 and made == [1, 2, 3, 4, 5, 6, 7, 1]
+    c = bpe.Cache(lambda k: made.append(k) or k, 2 * (200 + 8))
+    assert [c[k] for k in "1213145671"] == [*"1213145671"]
+    assert len(c) <= 2 and len(c.old) <= 2 and made == [*"12345671"]
+
+
+def test_cache_is_bounded_in_bytes():
+    c = bpe.Cache(lambda k: k, 10_000)
+    for i in range(1000):
+        assert c[f"{i:0100}"] == f"{i:0100}" and c["x" * 5000 + str(i)]
+    assert sum(len(k) for k in [*c, *c.old]) < 3000
 
 
 def test_op9(spark, odd_texts):
@@ -78,6 +85,25 @@ def test_op10(spark, odd_texts, most):
     assert token_counts.token_counts(frame(spark, []), BYTE).count() == 0
 
 
+def test_long_pretokens(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(600)) for _ in range(17_000)] + ["ab" * 2_500_000, "汉字" * 3000, "x" * 129, "x" * 129]
+    lib = library(BYTE)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, rows_of(texts)).repartition(4), BYTE).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_of_1_mb():
+    word = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    ids = library(WORD).encode(word, add_special_tokens=False).ids
+    assert bpe.WordBPE(bpe.tokenizer_file(WORD)).encode(word) == np.array(ids, "<u4").tobytes() == packing.LibraryWordBPE(bpe.tokenizer_file(WORD)).encode(word)
+
+
+def test_table_is_filled_up_to_its_bytes():
+    counts = Counter({"aaa": 9, "éé": 8, "bbbb": 7, "c": 6})
+    assert token_counts.filled(counts, 10, 8) == {"aaa": 9, "éé": 8} and token_counts.filled(counts, 1) == {"aaa": 9}
+
+
 def test_summary_keeps_the_frequent(spark):
     docs = frame(spark, rows_of([f"the word{i} the" for i in range(300)])).repartition(7)
     assert {"the", " the"} == set(token_counts.frequent_pretokens(docs, most=2))
