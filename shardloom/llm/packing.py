@@ -12,6 +12,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,18 @@ from .bpe import CACHE_BYTES, WordBPE, byte_alphabet, loaded, tokenizer_file
 from .common import small_batches, table, written
 
 CAP = 2048
+#: Steps of the search for fewer sequences than best fit needs; what it leaves open is in the result's gap.
+WORK = 1_000_000
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+class Packing(NamedTuple):
+    """A plan, and by how many sequences at most it is longer than it must be: 0 if it is known to be optimal."""
+
+    plan: Plan
+    gap: int
+
+
 class LibraryWordBPE(WordBPE):
     """Ids by the library's model; pre-tokens and their cache as in WordBPE."""
 
@@ -133,15 +143,17 @@ def completions(keys: list[int], counts: dict[int, int], room: int, width: int,
         yield [c for _, c in sorted(found)], steps - budget
 
 
-def pack_lengths(lengths: dict[int, int], cap: int = CAP, work: int = 1_000_000, width: int = 16, steps: int = 4_000) -> Plan:
+def pack_lengths(lengths: dict[int, int], cap: int = CAP, work: int | None = None, width: int = 16, steps: int = 4_000) -> Packing:
     """Patterns and their numbers of uses, for lengths (1 to cap) and their counts.
 
     Best fit gives the first incumbent. Then, depth first: around the longest length left, the fillings
     are tried batch by batch, each as often as the counts allow, and after all of them each less often; a
     branch ends where the waste so far rules out fewer sequences than the incumbent has. The search ends
-    at the lower bound, when nothing is left to try (the incumbent is optimal), or after `work` steps with
-    the incumbent. `width` and `steps` bound a batch: more are made when the search comes back for them.
+    at the lower bound, or when nothing is left to try: the incumbent is optimal. Where `work` is given, it
+    ends after so many steps at the latest, with the incumbent and its gap to the lower bound. `width` and
+    `steps` bound a batch: more are made when the search comes back for them.
     """
+    work = float("inf") if work is None else work
     lengths = {k: n for k, n in lengths.items() if n}
     total, least = sum(k * n for k, n in lengths.items()), lower_bound(lengths, cap)
     best = best_fit(lengths, cap)
@@ -196,8 +208,8 @@ def pack_lengths(lengths: dict[int, int], cap: int = CAP, work: int = 1_000_000,
                 break
             frames.pop()
         if not frames:
-            break
-    return best
+            return Packing(best, size(best) - least if work <= 0 else 0)
+    return Packing(best, size(best) - least)
 
 
 def slots(plan: Plan) -> np.ndarray:
@@ -238,12 +250,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id="doc_id", text="text",
     return docs.select(id, text).mapInArrow(run, f"`{id}` {docs.schema[id].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id="doc_id", text="text", cap: int = CAP) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, tokenizer: str, id="doc_id", text="text", cap: int = CAP, work: int | None = WORK) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, gap (the same in all rows, see Packing).
 
     Every document is its ids and id 0; null text counts as empty, so that it is the one id 0. Ids may be
-    null or repeat: each row of docs is packed. Sequences have no gaps; only those that no filling
-    completes are shorter than cap.
+    null or repeat: each row of docs is packed. Sequences have no holes; only those that no filling
+    completes are shorter than cap. An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = written(tokenized_pieces(docs, tokenizer, id, text, cap), "pieces")
@@ -252,7 +264,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id="doc_id", text="text", ca
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")))
     # At most cap rows, whatever the input.
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    at = spark.sparkContext.broadcast(slots(pack_lengths(histogram, cap)))
+    packing = pack_lengths(histogram, cap, work)
+    at = spark.sparkContext.broadcast(slots(packing.plan))
     ranked = pieces.join(counts.select("part", "length", "base"), ["part", "length"]).select(id, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches):
@@ -264,7 +277,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id="doc_id", text="text", ca
             i = rank - first[s]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence[s] + i // m[s]), pa.array(offset[s] + i % m[s] * length)], [id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"`{id}` {docs.schema[id].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    placed = ranked.mapInArrow(place, f"`{id}` {docs.schema[id].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return placed.withColumn("gap", F.lit(packing.gap).cast("bigint"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,7 @@ def brute_least(items, cap):
 
 
 def plan_ok(plan, lengths, cap):
+    plan = getattr(plan, "plan", plan)
     used = Counter()
     for pattern, n in plan:
         assert n > 0 and 0 < sum(pattern) <= cap
@@ -155,14 +156,27 @@ def test_search_goes_on_after_a_perfect_filling():
     assert plan_ok(packing.pack_lengths(lengths, 100), lengths, 100) == 3
 
 
-def test_search_is_optimal_with_its_defaults_and_with_tiny_batches():
+@pytest.mark.parametrize("options", [{}, {"width": 1}, {"steps": 3}])
+def test_search_is_optimal_up_to_13_items(options):
     rng = random.Random(6)
-    for _ in range(150):
-        cap = rng.choice([10, 17, 40, 100])
-        items = sorted((rng.randint(1, cap // rng.choice([1, 2, 3])) for _ in range(rng.randint(0, 10))), reverse=True)
-        lengths, least = Counter(items), brute_least(items, cap)
-        for options in ({}, {"width": 1}, {"steps": 3}):
-            assert plan_ok(packing.pack_lengths(lengths, cap, **options), lengths, cap) == least
+    cases = [({10: 2, 8: 7, 4: 1, 3: 3}, 30), ({16: 3, 14: 6, 6: 3}, 50)]
+    for _ in range(400):
+        cap = rng.choice([10, 17, 30, 50, 100])
+        kinds = [rng.randint(1, cap // rng.choice([1, 2, 3])) for _ in range(rng.randint(1, 6))]
+        cases.append((dict(Counter(rng.choice(kinds) for _ in range(rng.randint(0, 13)))), cap))
+    for lengths, cap in cases:
+        least = brute_least(sorted(Counter(lengths).elements(), reverse=True), cap)
+        found = packing.pack_lengths(lengths, cap, **options)
+        assert plan_ok(found, lengths, cap) == least and found.gap == 0
+
+
+def test_work_leaves_a_gap_and_none_ends_with_proof():
+    lengths = {10: 2, 8: 7, 4: 1, 3: 3}
+    assert packing.pack_lengths(lengths, 30, work=0).gap == 1 and plan_ok(packing.pack_lengths(lengths, 30, work=0), lengths, 30) == 4
+    proven = packing.pack_lengths({6: 5}, 10)  # the bound by the sum alone would be 3
+    assert (sum(n for _, n in proven.plan), proven.gap) == (5, 0)
+    open_ = packing.pack_lengths({4: 4, 7: 1, 9: 2, 13: 2}, 18, work=0)
+    assert open_.gap >= 0 and sum(n for _, n in open_.plan) - open_.gap == packing.lower_bound({4: 4, 7: 1, 9: 2, 13: 2}, 18)
 
 
 def test_bound_and_search_beat_best_fit():
@@ -189,7 +203,7 @@ def packed_ok(got, texts, cap):
             end += length
         assert end <= cap
     lengths = Counter(n for _, n, _ in want.values())
-    assert packing.lower_bound(lengths, cap) <= len(by) == sum(n for _, n in packing.pack_lengths(lengths, cap))
+    assert packing.lower_bound(lengths, cap) <= len(by) == plan_ok(packing.pack_lengths(lengths, cap, packing.WORK), lengths, cap)
 
 
 def test_op7(spark, odd_texts):
