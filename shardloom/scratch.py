@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-_PATHS: list[str] = []
-
-
 class scope:  # noqa: N801
-    """with scope(spark): tables written inside are deleted at its end, when no result that reads them is needed."""
+    """with scope(spark): tables written inside, by this thread or task, are deleted at its end, when no result that reads them is needed."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
-        self.at = len(_PATHS)
+        self.paths: list[str] = []
+        self.token = _SCOPE.set(self.paths)
 
     def __exit__(self, *_):
-        for path in _PATHS[self.at :]:
+        _SCOPE.reset(self.token)
+        for path in self.paths:
             fs, p = hadoop_path(self.spark, path)
             fs.delete(p, True)
-        del _PATHS[self.at :]
+
+
+#: Where the innermost scope lists its tables; each thread has its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of our own only where none is set (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one of our own only where none is set and all runs on this machine (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shardloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of a path in any store that Spark reaches."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,14 +58,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/shardloom/{name}-{uuid.uuid4().hex}"
     fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
-    _PATHS.append(path)
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
     return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
+    """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation.
+
+    Shuffle files of the job go with it: nothing reads them again.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
