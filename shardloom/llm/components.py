@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by large-star and small-star rounds."""
+"""Connected components of an edge table, by large-star and small-star rounds; and groups cut into pairs of blocks."""
 
 from __future__ import annotations
 
@@ -37,3 +37,22 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         before = seen
         edges = written(_round(_round(edges, True), False), "edges")
+
+
+#: Members of a block: the most, and the least where a group is large enough to be cut at all. Bytes of a block at most.
+BLOCK, LEAST_BLOCK, BLOCK_BYTES = 1024, 128, 32 << 20
+
+
+def block_pairs(members: DataFrame, most: int = BLOCK, size: int = BLOCK_BYTES) -> DataFrame:
+    """(node, label, block, i, j) for members (node, label, bytes): the pairs of blocks, i <= j, that hold a member's own.
+
+    Every two members of a label meet at one pair (i, j): that of their blocks. A label is cut by a hash
+    of its members, into blocks of four times the root of their number, within bounds: so a member is
+    moved a few times where a group is of middling size, and large groups don't become one task.
+    """
+    sizes = written(members.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_bytes")), "group-sizes")
+    each = F.greatest(F.lit(min(LEAST_BLOCK, most)), F.least(F.lit(most), 4 * F.sqrt("_n")))
+    n = F.ceil(F.greatest(F.col("_n") / each, F.col("_bytes") / size, F.lit(1.0))).cast("bigint")
+    own = members.join(sizes, "label").select("node", "label", n.alias("_blocks"), F.pmod(F.xxhash64("node"), n).alias("block"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
+    return own.select("node", "label", "block", F.explode(pairs).alias("_p")).select("node", "label", "block", "_p.i", "_p.j")

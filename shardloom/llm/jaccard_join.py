@@ -18,12 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import numbered_columns, small_batches, table, without, written
-from .components import components
+from .components import BLOCK, block_pairs, components
 from .hashing import gram_numbers, mix, ngram_hashes, word_hashes
 
 WORDS, LEAST, RECALL, HASHES = 5, 0.8, 0.999, 320
-#: Classes of a component that are verified in one task; beyond it, of each of two blocks.
-BLOCK = 512
 _SLAB = 2048
 
 
@@ -150,18 +148,15 @@ def near_classes(docs: DataFrame, text="text", words: int = WORDS, least: float
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = docs.mapInArrow(sign, f"{kinds}, _set binary, _grams bigint, _bands array<bigint>")
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "signed")
-    sets = written(rows.filter("_set is not null").groupBy("_set").agg(F.min(F.struct("_row", "_bands")).alias("m"), F.count(F.lit(1)).alias("_copies")).select("_set", F.col("m._row").alias("_rep"), F.col("m._bands").alias("_bands"), "_copies"), "gram-sets")
+    sets = written(rows.filter("_set is not null").groupBy("_set").agg(F.min(F.struct("_row", "_bands", F.octet_length(text).alias("_bytes"))).alias("m"), F.count(F.lit(1)).alias("_copies")).select("_set", F.col("m._row").alias("_rep"), "m._bands", "m._bytes", "_copies"), "gram-sets")
     banded = sets.select("_rep", F.explode("_bands").alias("_band"))
     stars = banded.groupBy("_band").agg(F.min("_rep").alias("_hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_band", "_hub")
     candidates = components(banded.join(stars, "_band").select(F.col("_rep").alias("a"), F.col("_hub").alias("b")))
-    sizes = written(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), "component-sizes")
-    n = F.ceil(F.col("_n") / block).cast("bigint")
-    member = written(candidates.join(sizes, "label").select(F.col("node").alias("_rep"), "label", n.alias("_blocks"), F.pmod(F.xxhash64("node"), n).alias("_block")), "members")
-    # A class goes to the pairs of blocks that hold its own: one of them where the component is one block.
-    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "_block").alias("i"), F.greatest(o, "_block").alias("j")))
-    member = member.join(sets.select("_rep", "_copies"), "_rep").select("_rep", "_copies", "label", "_block", F.explode(pairs).alias("_pair"))
-    work = rows.select("_row", F.col(text).alias("_text")).join(member.hint("shuffle_hash"), F.col("_row") == F.col("_rep"))
-    work = work.select("label", "_pair.i", "_pair.j", "_row", "_copies", "_block", "_text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    members = written(candidates.withColumnRenamed("node", "_rep").join(sets.select("_rep", "_copies", "_bytes"), "_rep"), "members")
+    pairs = block_pairs(members.select(F.col("_rep").alias("node"), "label", F.col("_bytes").alias("bytes")), block)
+    pairs = pairs.join(members.select(F.col("_rep").alias("node"), "_copies"), "node")
+    work = rows.select("_row", F.col(text).alias("_text")).join(pairs.hint("shuffle_hash"), F.col("_row") == F.col("node"))
+    work = work.select("label", "i", "j", "_row", "_copies", "block", "_text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
 
     def verify(batches):
         key, members = None, []
