@@ -1,6 +1,6 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where a short window of its own characters meets a rule, so equal texts get equal
+A text is cut where a short window of its own bytes meets a rule, so equal texts get equal
 chunks. Each chunk is named by a 64-bit hash, and a document by the ordered list of those names. One
 shuffle of the distinct chunks verifies that no name stands for two contents; if one does, the chunks
 under that name are told apart by content. Only names move after that.
@@ -17,39 +17,53 @@ from .common import ascii_lower, numbered_columns, table, without, written
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
 
-def cut_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> str:
-    """A chunk ends after three characters whose code points are 1, 4 and 0 modulo 8, or at `most`."""
-    of = lambda r: "[" + "".join(f"\\u{c:04x}" for c in range(0x20, 0x180) if c % 8 == r) + "]"
-    return f"(?s).{{{least},{most}}}?(?<={of(1)}{of(4)}{of(0)})|.{{1,{most}}}"
+def cut_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK, ascii: bool = False) -> str:
+    """A chunk ends after three bytes that are 1, 4 and 0 modulo 8, or at `most`.
+
+    Unless all is ASCII it also ends after three characters of several bytes, with one other between at
+    most, whose last bytes are so: in some scripts no neighbouring bytes can be.
+    """
+    of = lambda r, low=0x20: "[" + "".join(f"\\u{c:04x}" for c in range(low, 0xC0 if low > 0x20 else 0x100) if c % 8 == r) + "]"
+    start = "[\\u0000-\\u007f]?[\\u00c2-\\u00f4][\\u0080-\\u00bf]{0,2}"
+    rules = [of(1) + of(4) + of(0)] + ([] if ascii else [start.join([of(1, 0x80), of(4, 0x80), of(0, 0x80)])])
+    return f"(?s).{{{least},{most}}}?(?<={'|'.join(rules)})|.{{1,{most}}}"
 
 
 def chunks(text, least: int = MIN_CHUNK, most: int = MAX_CHUNK):
-    """Array of the chunks of a text column; concatenated they are the text."""
-    return F.regexp_extract_all(text, F.lit(cut_pattern(least, most)), F.lit(0))
+    """Array of the chunks (binary) of a text column's UTF-8; concatenated they are the text.
+
+    The pattern sees a character for each byte, so that the rule cuts text of any script.
+    """
+    plain = F.regexp_extract_all(text, F.lit(cut_pattern(least, most, ascii=True)), F.lit(0))
+    other = F.regexp_extract_all(F.decode(text.cast("binary"), "ISO-8859-1"), F.lit(cut_pattern(least, most)), F.lit(0))
+    found = F.when(F.length(text) == F.octet_length(text), plain).otherwise(other)
+    return F.transform(found, lambda c: F.encode(c, "ISO-8859-1"))
 
 
-def chunk_recipes(docs: DataFrame, text="text", name=F.xxhash64, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """docs' rows with `recipe` (array<bigint>, names of the chunks in order) and `variants`.
+def chunk_recipes(docs: DataFrame, text="text", name=F.xxhash64, least: int = MIN_CHUNK, most: int = MAX_CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all of them, if none are given) of docs' rows, with `recipe` (array<bigint>, names of the chunks in order), `variants` and a number `_row`.
 
     Equal (recipe, variants) means equal text. `variants` is null unless a name of the recipe stands
     for several contents; then it lists, for each chunk, its content's rank under the name. Null text
-    counts as empty; an empty text has an empty recipe.
+    counts as empty; an empty text has an empty recipe. Columns of docs by one of the new names, or
+    `_chunks`, are replaced. Each text is cut once: chunks and recipes are written together.
     """
-    spark = docs.sparkSession
-    cut = F.transform(chunks(F.coalesce(F.col(text), F.lit("")), least, most), lambda c: F.struct(name(c).alias("name"), c.alias("chunk")))
-    distinct = docs.select(F.explode(cut).alias("c")).select("c.name", "c.chunk").groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    new = ["recipe", "variants", "_row", "_chunks"]
+    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    cut = docs.select(*own, chunks(F.coalesce(F.col(text), F.lit("")), least, most).alias("_chunks"), F.monotonically_increasing_id().alias("_row"))
+    cut = written(cut.withColumn("recipe", F.transform("_chunks", lambda c: name(c))), "chunks")
+    each = cut.select("_row", F.posexplode(F.arrays_zip("recipe", "_chunks")).alias("pos", "c")).select("_row", "pos", F.col("c.recipe").alias("name"), F.col("c._chunks").alias("chunk"))
+    distinct = each.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n"))
     clash = written(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("name"), "chunk-clash")
-    recipes = docs.withColumn("recipe", F.transform(cut, lambda c: c["name"]))
+    recipes = cut.select(*own, "recipe", "_row")
     if clash.isEmpty():
         return recipes.withColumn("variants", F.lit(None).cast("array<bigint>"))
     # Ranks by content, of the contents under the few clashing names only.
     distinct = written(distinct.join(clash, "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_list("chunk")).alias("contents")), "chunk-variants")
-    keyed = written(recipes.withColumn("_row", F.monotonically_increasing_id()), "chunk-recipes")
-    at = keyed.select("_row", F.posexplode(F.transform(chunks(F.coalesce(F.col(text), F.lit("")), least, most), lambda c: F.struct(name(c).alias("name"), c.alias("chunk")))).alias("pos", "c"))
-    ranks = at.select("_row", "pos", "c.*").join(distinct, "name").select("_row", F.struct("pos", F.expr("cast(array_position(contents, chunk) as bigint)").alias("rank")).alias("v"))
+    ranks = each.join(distinct, "name").select("_row", F.struct("pos", F.expr("cast(array_position(contents, chunk) as bigint)").alias("rank")).alias("v"))
     ranks = ranks.groupBy("_row").agg(F.sort_array(F.collect_list("v")).alias("v"))
     variants = ranks.select("_row", F.flatten(F.transform("v", lambda x: F.array(x["pos"].cast("bigint"), x["rank"]))).alias("variants"))
-    return keyed.join(variants, "_row", "left").drop("_row")
+    return recipes.join(variants, "_row", "left")
 
 
 def exact_dedup(docs: DataFrame, id="doc_id", text="text", name=F.xxhash64, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
@@ -60,8 +74,8 @@ def exact_dedup(docs: DataFrame, id="doc_id", text="text", name=F.xxhash64, leas
     group of null ids only has keep_id null, and one of its rows stays. Other columns are ignored.
     """
     rows = docs.select(F.col(id).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    rows = chunk_recipes(rows, "_text", name, least, most)
-    rows = written(rows.select("_id", F.sha2("_text", 256).alias("text_sha256"), "recipe", F.coalesce("variants", F.array().cast("array<bigint>")).alias("variants"), F.monotonically_increasing_id().alias("_row")), "recipes")
+    rows = rows.withColumn("text_sha256", F.sha2("_text", 256))
+    rows = chunk_recipes(rows, "_text", name, least, most, keep=["_id", "text_sha256"]).withColumn("variants", F.coalesce("variants", F.array().cast("array<bigint>")))
     groups = rows.groupBy("recipe", "variants").agg(F.max(F.struct("_id", "_row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
     # Written, so that the join has an exchange of its own on either side and a hot group's rows can be split.
     groups = written(groups.filter("group_size > 1"), "groups")
@@ -71,7 +85,11 @@ def exact_dedup(docs: DataFrame, id="doc_id", text="text", name=F.xxhash64, leas
 
 
 def keep_exact(docs: DataFrame, id="doc_id", text="text", **options) -> DataFrame:
-    """docs' rows that exact_dedup() keeps, with all columns; of rows with the same id and text any one."""
+    """docs' rows that exact_dedup() keeps, with all columns; of rows with the same id and text any one.
+
+    Null text counts as empty: of null and empty texts the row with the largest id stays. Columns may have
+    any names; an empty table gives an empty one.
+    """
     names = docs.columns
     docs, (id, text) = numbered_columns(docs, id, text)
     found = exact_dedup(docs, id, text, **options).select(F.col(id).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")

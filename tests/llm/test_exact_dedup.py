@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shardloom.llm import exact_dedup as X
@@ -56,16 +57,24 @@ def test_clashing_names_are_told_apart(spark):
 def test_chunks_make_up_the_text(spark):
     rows = [(i, t) for i, t in corpus() if t]
     got = spark.createDataFrame(rows, "doc_id bigint, text string").select("text", X.chunks(F.col("text")).alias("c")).collect()
-    assert all("".join(r.c) == r.text for r in got)
+    assert all(b"".join(r.c) == r.text.encode() for r in got)
     assert any(len(r.c) > 5 for r in got) and all(len(x) <= X.MAX_CHUNK for r in got for x in r.c)
 
 
-def test_an_edit_changes_few_chunks(spark):
+@pytest.mark.parametrize(("low", "n"), [(97, 26), (0x430, 32), (0x4E00, 8000), (0x3041, 86), (0x627, 36), (0x1F600, 60)])
+def test_an_edit_changes_few_chunks(spark, low, n):
     rng = random.Random(1)
-    a = "".join(rng.choice("abcdehilpqt ") for _ in range(30000))
-    rows = spark.createDataFrame([(a,), (a[:15000] + "zz" + a[15000:],)], "text string").select(X.chunks(F.col("text")).alias("c")).collect()
+    a = "".join(rng.choice([" ", chr(low + rng.randrange(n))]) if n < 100 else chr(low + rng.randrange(n)) for _ in range(40000))
+    rows = spark.createDataFrame([(a,), (a[:5000] + chr(low) + a[5000:],)], "text string").select(X.chunks(F.col("text")).alias("c")).collect()
     x, y = set(rows[0].c), set(rows[1].c)
-    assert len(x ^ y) <= 8 < len(x)
+    assert len(x & y) >= 0.8 * len(x) and len(x) > 9
+
+
+def test_columns_by_the_names_of_a_recipe(spark):
+    docs = spark.createDataFrame([(1, "a", "mine"), (2, "a", "mine"), (3, None, "mine")], "doc_id bigint, text string, recipe string")
+    rows = {r.doc_id: r for r in X.chunk_recipes(docs).collect()}
+    assert rows[1].recipe == rows[2].recipe != rows[3].recipe == []
+    assert X.keep_exact(docs.withColumnRenamed("recipe", "_chunks")).count() == 2 == X.keep_exact(docs.withColumnRenamed("recipe", "variants")).count()
 
 
 def test_empty_table(spark):
