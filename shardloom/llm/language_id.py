@@ -98,29 +98,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
+def _idf(seen: np.ndarray, n: int) -> np.ndarray:
+    """Weights from the number of texts that have each n-gram, of n texts."""
+    return (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+
+
+def _clustered(texts: list[np.ndarray], idf: np.ndarray, centroids: int) -> tuple[np.ndarray, list[float]]:
+    """(centroids of a language's texts, by spherical k-means; least cosines by length)."""
+    x = np.stack([_weighted(ngram_counts(a, len(idf)), idf) for a in texts])
+    # Farthest-first starts: the mean, then what is least like the centroids so far.
+    c = _unit(x.mean(axis=0, keepdims=True))
+    while len(c) < min(centroids, len(x)):
+        c = np.vstack([c, x[(x @ c.T).max(axis=1).argmin()][None]])
+    for _ in range(ROUNDS):
+        own = (x @ c.T).argmax(axis=1)
+        c = np.stack([_unit(x[own == k].mean(axis=0)) if (own == k).any() else c[k] for k in range(len(c))])
+    return c, _floors(texts, idf, c)
+
+
+def _model(idf: np.ndarray, found: dict[str, tuple[np.ndarray, list[float]]]) -> Centroids:
+    names = [lang for lang in sorted(found) for _ in found[lang][0]]
+    vectors = np.vstack([found[lang][0] for lang in sorted(found)]) if found else np.zeros((0, len(idf)), np.float32)
+    return Centroids(idf, vectors, names, [found[lang][1] for lang in names])
+
+
 def fit(texts: list[tuple[str, str]], centroids: int = CENTROIDS, dims: int = DIMS) -> Centroids:
     """From (language, text) rows; texts without letters are left out."""
-    rows = sorted((lang, t) for lang, t in texts if lang is not None and t)
-    coded = [(lang, a) for lang, t in rows if (a := letters(t)) is not None]
-    counted = [(lang, ngram_counts(a, dims)) for lang, a in coded]
-    seen = np.zeros(dims, np.float32)
-    for _, c in counted:
-        seen += c != 0
-    idf = (np.log((1 + len(counted)) / (1 + seen)) + 1).astype(np.float32)
-    vectors, names, floors = [], [], []
-    for lang in sorted({lang for lang, _ in counted}):
-        x = _weighted(np.stack([c for k, c in counted if k == lang]), idf)
-        # Farthest-first starts: the mean, then what is least like the centroids so far.
-        c = _unit(x.mean(axis=0, keepdims=True))
-        while len(c) < min(centroids, len(x)):
-            c = np.vstack([c, x[(x @ c.T).max(axis=1).argmin()][None]])
-        for _ in range(ROUNDS):
-            own = (x @ c.T).argmax(axis=1)
-            c = np.stack([_unit(x[own == k].mean(axis=0)) if (own == k).any() else c[k] for k in range(len(c))])
-        vectors.append(c)
-        names += [lang] * len(c)
-        floors += [_floors([a for k, a in coded if k == lang], idf, c)] * len(c)
-    return Centroids(idf, np.vstack(vectors) if vectors else np.zeros((0, dims), np.float32), names, floors)
+    coded = [(lang, a) for lang, t in sorted((lang, t) for lang, t in texts if lang is not None and t) if (a := letters(t)) is not None]
+    seen = np.sum([ngram_counts(a, dims) != 0 for _, a in coded], axis=0) if coded else np.zeros(dims)
+    idf = _idf(seen, len(coded))
+    return _model(idf, {lang: _clustered([a for k, a in coded if k == lang], idf, centroids) for lang in {k for k, _ in coded}})
 
 
 def _floors(texts: list[np.ndarray], idf: np.ndarray, centroids: np.ndarray) -> list[float]:
@@ -137,8 +144,12 @@ def held_out(id) -> F.Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_on(docs: DataFrame, id="doc_id", text="text", lang="lang", sample: int = SAMPLE) -> Centroids:
-    """A model from at most `sample` labelled rows of each language, chosen by a hash of the id; held-out rows have no part in it."""
+def fit_on(docs: DataFrame, id="doc_id", text="text", lang="lang", sample: int = SAMPLE, centroids: int = CENTROIDS, dims: int = DIMS) -> Centroids:
+    """A model from at most `sample` labelled rows of each language, chosen by a hash of the id; held-out rows have no part in it.
+
+    Null texts and languages are left out, as are texts without letters; of rows that share an id and a
+    language one is taken. An empty table gives a model without languages, which rejects all texts.
+    """
     base = docs.filter(~held_out(id)).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
     counts = base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
@@ -153,7 +164,43 @@ def fit_on(docs: DataFrame, id="doc_id", text="text", lang="lang", sample: int =
     first = written(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).groupBy("lang", "id").agg(F.min("n").alias("n")), "sample")
     # At most sample x LANGUAGES ids: a bounded side. Of rows that share an id the text with the least hash is taken.
     found = base.join(F.broadcast(first), ["lang", "id"]).groupBy("lang", "n").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return fit([(r.lang, r.text) for r in found.collect()])
+    return _fit_in_tasks(written(found.select("lang", "text"), "labelled"), centroids, dims)
+
+
+def _fit_in_tasks(labelled: DataFrame, centroids: int, dims: int) -> Centroids:
+    """fit() on (lang, text) rows, each language in one task; the driver gets sums and centroids, never texts.
+
+    A task holds a language's letters, of at most SAMPLE texts; no text is cut.
+    """
+    small_batches(labelled.sparkSession)
+
+    def counted(batches):
+        seen, n = np.zeros(dims, np.int64), 0
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                if (a := letters(t)) is not None:
+                    seen += ngram_counts(a, dims) != 0
+                    n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()]), pa.array([n], pa.int64())], ["seen", "n"])
+
+    def clustered(batches):
+        texts: dict[str, list] = {}
+        for batch in batches:
+            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (a := letters(t)) is not None:
+                    texts.setdefault(lang, []).append((t, a))
+        for lang, own in texts.items():
+            c, floors = _clustered([a for _, a in sorted(own, key=lambda x: x[0])], idf, centroids)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.tobytes()]), pa.array([floors], pa.list_(pa.float64()))], ["lang", "vectors", "floors"])
+
+    # A row for each task, of dims numbers, of at most as many tasks as there are languages.
+    by_language = labelled.repartition(LANGUAGES, "lang")
+    sums = by_language.mapInArrow(counted, "seen binary, n bigint").collect()
+    seen = np.sum([np.frombuffer(r.seen, np.int64) for r in sums], axis=0) if sums else np.zeros(dims)
+    idf = _idf(seen, sum(r.n for r in sums))
+    found = by_language.mapInArrow(clustered, "lang string, vectors binary, floors array<double>").collect()
+    return _model(idf, {r.lang: (np.frombuffer(r.vectors, np.float32).reshape(-1, dims), list(r.floors)) for r in found})
 
 
 

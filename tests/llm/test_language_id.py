@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shardloom.llm import language_id as L
@@ -58,3 +59,43 @@ def test_unlearned_scripts_and_gibberish_are_rejected_at_any_length(spark):
                 assert model.predict(t)[1] < L.LEAST, (low, size)
     held = [r.text for r in docs.filter(L.held_out("doc_id")).collect() if r.text and L.letters(r.text) is not None]
     assert all(model.predict(t)[1] >= L.LEAST for t in held) and len(held) > 200
+
+
+def test_fit_in_tasks_is_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.lang, r.text) for r in docs.filter(~L.held_out("doc_id")).collect() if r.lang and r.text]
+    a, b = L.fit_on(docs), L.fit(rows)
+    assert a.languages == b.languages and a.floors == b.floors and (a.idf == b.idf).all() and np.allclose(a.vectors, b.vectors)
+    assert len(a.languages) > 4
+
+
+def test_idf_and_clusters_by_brute_force():
+    texts = ["abcabc abcabc abc", "abcabc abcabc abd", "xyzxyz xyzxyz xyz", "xyzxyz xyzxyz xyw"]
+    m = L.fit([("a", t) for t in texts], centroids=2)
+    counts = [L.ngram_counts(L.letters(t)) for t in texts]
+    for d in np.flatnonzero(counts[0]):
+        assert np.isclose(m.idf[d], np.log(5 / (1 + sum(c[d] != 0 for c in counts))) + 1)
+    x = [v / np.linalg.norm(v) for v in (np.sign(c) * np.log1p(np.abs(c)) * m.idf for c in counts)]
+    halves = [(x[0] + x[1]) / np.linalg.norm(x[0] + x[1]), (x[2] + x[3]) / np.linalg.norm(x[2] + x[3])]
+    assert sorted(max(float(h @ c) for c in m.vectors) > 0.9999 for h in halves) == [True, True]
+
+
+def test_foreign_texts_go_and_labelled_languages_stay(spark):
+    """5 to 3,000 words: at least 95 % of foreign texts are rejected, at most 2 % of the held-out ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = L.fit_on(docs), random.Random(5)
+    for low, n in ((0x3B1, 25), (0x430, 32), (0x4E00, 8000), (0xAC00, 11000), (0x5D0, 27)):
+        vocabulary = ["".join(chr(low + rng.randrange(n)) for _ in range(rng.randint(2, 9))) for _ in range(500)]
+        texts = [" ".join(rng.choices(vocabulary, k=k)) for k in (5, 20, 100, 500, 3000) for _ in range(20)]
+        assert sum(model.predict(t)[1] < L.LEAST for t in texts) >= 0.95 * len(texts), low
+    foreign = spark.createDataFrame([(10**6, texts[-1], None, "s", 1), (10**6 + 1, None, "en", "s", 1)], docs.schema)
+    kept = L.keep_identified(docs.union(foreign)).select("doc_id").collect()
+    assert max(r.doc_id for r in kept) < 10**6
+    assert sum(r.rejected for r in L.identify(docs.filter(L.held_out("doc_id")), model, ["doc_id"]).collect()) <= 0.02 * 250
+
+
+def test_repeated_ids_and_long_texts(spark):
+    long = "the old house and the river " * 50_000
+    docs = spark.createDataFrame([(1, "the house", "en"), (1, "das Haus", "de"), (1, long, "en"), (1, long, "en")], "doc_id bigint, text string, lang string")
+    rows = L.identify(docs, L.fit_on(docs), ["doc_id"]).collect()
+    assert len(rows) == 4 and sorted(r.lang_pred for r in rows)[0] == "de" and len({r.score for r in rows}) <= 3
