@@ -1,26 +1,28 @@
 """WARC archives: writing captures, reading them back, and assembling transactions.
 
 A capture is three records: request, response (or revisit) and metadata; the first and the last name the
-second in WARC-Concurrent-To. Spark's own writer makes the files (a record ends with an empty line, which
-is the writer's line separator), so that they lie in any store that Spark reaches, and a task that is run
-again leaves no half-written file.
+second in WARC-Concurrent-To. Each record is a gzip member of its own. Spark's writer makes the files, so that
+they lie in any store that Spark reaches, and a task that is run again leaves no half-written file.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, written
+from .common import scratch_path, small_batches, table, written
 
 #: Payloads of so many bytes or more are stored once.
 REVISIT_BYTES = 1000
-#: Records of a file at most: a file is read as one row, so its size must be bounded.
-FILE_RECORDS = 6000
+#: Bytes of a file, about: a file is read as one row. A record that has more is a file of its own.
+FILE_BYTES = 16 << 20
+#: Bytes of a gzip member before compression, at most; a longer record is several members.
+MEMBER_BYTES = 8 << 20
 _EOL = "\r\n"
 RECORD = "record_id string, type string, target string, concurrent_to string, refers_to string, content_type string, payload_bytes bigint, payload_digest string, fields map<string,string>"
 
@@ -39,14 +41,16 @@ def _uuid(digest):
     return _lines("<urn:uuid:", part(1, 8), "-", part(9, 4), "-", part(13, 4), "-", part(17, 4), "-", part(21, 12), ">")
 
 
-def write_archives(pages: DataFrame, path: str, id="page_id", url="url", html="html", date="1970-01-01T00:00:00Z", least: int = REVISIT_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Writes a capture for each row of pages, as gzipped WARC/1.1 files under path.
+def write_archives(pages: DataFrame, path: str, id="page_id", url="url", html="html", date="1970-01-01T00:00:00Z", least: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Writes a capture for each row of pages, as gzipped WARC/1.1 files of about file_bytes under path.
 
     The payload is the html in UTF-8, null as an empty one. Of captures whose payloads are equal and have
     `least` bytes, the one with the largest id is a response; the others are revisits that refer to it and
     hold no payload. Repeated rows are captures of their own; of repeated largest ids one is the response.
-    White space and control characters in a url are written as %20; a null url is empty, a null id too.
+    White space and control characters in a url are written as %20; a null url is empty, a null id too. An
+    empty table gives no records; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     row = F.monotonically_increasing_id()
     rows = pages.select(F.col(id).alias("_id"), F.coalesce(F.col(url), F.lit("")).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_payload"), row.alias("_row"))
     rows = rows.withColumn("_bytes", F.octet_length("_payload")).withColumn("_key", F.sha2("_payload", 256))
@@ -66,23 +70,83 @@ def write_archives(pages: DataFrame, path: str, id="page_id", url="url", html="h
     request = _record("request", own("request"), safe, date, "application/http;msgtype=request", _lines("GET ", safe, " HTTP/1.1", _EOL, "Host: ", host, _EOL, _EOL), with_)
     response = _record(F.when(revisit, "revisit").otherwise("response"), own("response"), safe, date, "application/http;msgtype=response", F.when(revisit, http).otherwise(F.concat(http, "_payload")), digest, refers)
     metadata = _record("metadata", own("metadata"), safe, date, "application/warc-fields", _lines("page-id: ", F.coalesce(F.col("_id").cast("string"), F.lit("")), _EOL, "payload-bytes: ", size, _EOL), with_)
-    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", _EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
-
-def parse(data: bytes):
-    """(headers by lower-case name, block) of each record of an archive's bytes; ValueError where they aren't records."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode().split(_EOL)[1:])}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield head, data[start:stop]
-        at = stop + 4
+    def run(batches):
+        size, n = 0, 0
+        for batch in batches:
+            out = []
+            for value in batch.column(0):
+                data = value.as_buffer().to_pybytes() + b"\r\n\r\n"
+                members = [member(data[a : a + MEMBER_BYTES]) for a in range(0, len(data), MEMBER_BYTES)]
+                out += [(size // file_bytes, n + k, m) for k, m in enumerate(members)]
+                size, n = size + sum(map(len, members)), n + len(members)
+                if size // file_bytes != out[0][0]:
+                    yield records(out)
+                    out = []
+            if out:
+                yield records(out)
+
+    def records(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["file", "n", "value"])
+
+    members = rows.select(F.explode(F.array(request, response, metadata)).alias("value")).mapInArrow(run, "file bigint, n bigint, value binary")
+    # A member ends with its size, whose last byte is 0: that byte is the writer's line separator.
+    members = members.sortWithinPartitions("file", "n").select("file", F.col("value").cast("string").alias("value"))
+    members.write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member without its last byte, which is 0 for data of under 16 MB."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = packer.compress(data) + packer.flush()
+    if out[-1]:
+        raise ValueError(f"{len(data)} bytes are too many for a member")
+    return out[:-1]
+
+
+def inflated(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file of gzip members, or of a plain one, in pieces of bounded size."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[a : a + step]) for a in range(0, len(data), step))
+        return
+    at, unpacker, rest = 0, zlib.decompressobj(31), b""
+    while at < len(data) or rest:
+        piece = rest or data[at : at + step]
+        at += 0 if rest else len(piece)
+        yield unpacker.decompress(piece, step)
+        rest = unpacker.unconsumed_tail
+        if unpacker.eof:
+            at -= len(unpacker.unused_data)
+            unpacker = zlib.decompressobj(31)
+    if tail := unpacker.flush():
+        yield tail
+
+
+def parse(pieces: Iterable[bytes]):
+    """(headers by lower-case name, block) of each record of an archive, given in pieces; ValueError where they aren't records."""
+    held, at, done, need, head, start = bytearray(), 0, 0, 0, None, 0
+    for piece in pieces:
+        held += piece
+        while len(held) - at >= need:
+            if head is None:
+                end = held.find(b"\r\n\r\n", at)
+                if end < 0 or not held.startswith(b"WARC/1.", at):
+                    if len(held) - at >= 7 and not held.startswith(b"WARC/1.", at):
+                        raise ValueError(f"no WARC record at byte {done + at}")
+                    break
+                head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in held[at:end].decode().split(_EOL)[1:])}
+                start = end + 4 - at
+                need = start + int(head["content-length"]) + 4
+            else:
+                stop = at + need - 4
+                if held[stop : stop + 4] != b"\r\n\r\n":
+                    raise ValueError(f"the record at byte {done + at} doesn't end where its length says")
+                yield head, bytes(held[at + start : stop])
+                at, need, head = at + need, 0, None
+        del held[:at]
+        done, at = done + at, 0
+    if held:
+        raise ValueError(f"no whole WARC record at byte {done}")
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -90,9 +154,11 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
 
     payload_bytes and payload_digest (bare lower-case hex SHA-1) are computed from what was read; a
     digest that differs from the record's own header is an error. A revisit, which has no payload, gets
-    the digest that its header gives, and null bytes. fields has the lines of a warc-fields block.
+    the digest that its header gives, and null bytes. fields has the lines of a warc-fields block. A worker
+    holds a file as it is stored and a record of it at a time; Spark reads files of up to 2 GB.
     """
     names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads
+    small_batches(spark)
 
     def row(head, block):
         kind, digest, size, body, fields = head["warc-type"], None, None, None, None
@@ -109,15 +175,23 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
 
     kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * payloads
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = [row(*x) for x in parse(gzip.decompress(data.as_py()))]
-                for a in range(0, len(rows), 1000):
-                    cols = zip(*rows[a : a + 1000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+                rows, size = [], 0
+                for head, block in parse(inflated(memoryview(data.as_buffer()))):
+                    rows.append(row(head, block))
+                    size += len(block) if payloads else 0
+                    if len(rows) == 1000 or size > MEMBER_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, RECORD + ", payload binary" * payloads)
 
 
@@ -126,7 +200,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     A request or metadata record belongs to the response or revisit that its WARC-Concurrent-To names; a
     capture without one of them has it null. Of several of a kind the first by record id is taken.
-    Records that name no known response are left out.
+    Records that name no known response are left out. Empty records give no captures.
     """
     main = records.filter(F.col("type").isin("response", "revisit"))
     capture = main.select(F.col("record_id").alias("capture_id"), "target", F.struct(*main.columns).alias("response"))

@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import random
+import zlib
 from pathlib import Path
 
 import pytest
@@ -18,10 +20,11 @@ def pages(spark):
 
 def test_round_trip(spark, pages, tmp_path):
     path = f"file://{tmp_path}/w"
-    WA.write_archives(pages, path, file_records=6)
-    files = [*Path(f"{tmp_path}/w").glob("*.gz")]
-    assert len(files) > 1
-    heads = [h for f in files for h, _ in WA.parse(gzip.decompress(f.read_bytes()))]
+    WA.write_archives(pages, path, file_bytes=1000)
+    files = [*Path(f"{tmp_path}/w").glob("file=*/part-*")]
+    assert len(files) > 3 and all(f.stat().st_size < 4000 for f in files)
+    heads = [h for f in files for h, _ in WA.parse([gzip.decompress(f.read_bytes())])]
+    assert all(len([*members(f.read_bytes())]) == sum(1 for _ in WA.parse([gzip.decompress(f.read_bytes())])) for f in files)
     assert len(heads) == 39 == len({h["warc-record-id"] for h in heads})
     captures = WA.assemble(WA.read_records(spark, path, payloads=True)).collect()
     assert len(captures) == 13
@@ -32,6 +35,35 @@ def test_round_trip(spark, pages, tmp_path):
     assert all(c.request.content_type.endswith("request") for c in captures)
 
 
+def members(data):
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data)
+        assert d.eof
+        data = d.unused_data
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_pieces_of_any_size(step):
+    records = [f"WARC/1.1\r\nWARC-Type: x{i}\r\nContent-Length: {n}\r\n\r\n".encode() + b"z" * n for i, n in enumerate((0, 5, 3000))]
+    plain = b"".join(r + b"\r\n\r\n" for r in records)
+    each = b"".join(WA.member(r + b"\r\n\r\n") + b"\0" for r in records)
+    for data in (plain, gzip.compress(plain), each):
+        got = [(h["warc-type"], len(b)) for h, b in WA.parse(WA.inflated(memoryview(data), step))]
+        assert got == [("x0", 0), ("x1", 5), ("x2", 3000)]
+    with pytest.raises(ValueError):
+        [*WA.parse(WA.inflated(memoryview(each[:-40]), step))]
+    assert [*WA.parse(WA.inflated(memoryview(b"")))] == []
+
+
+def test_a_page_of_20_mb(spark, tmp_path):
+    rng = random.Random(1)
+    html = "".join(rng.choices("abcdefghijklmnop", k=1 << 20)) * 20
+    WA.write_archives(spark.createDataFrame([(1, "u", html), (2, "u", "b")], "page_id bigint, url string, html string"), f"file://{tmp_path}/w")
+    got = {r.payload_bytes: r for r in WA.read_records(spark, f"file://{tmp_path}/w", payloads=True).filter("type = 'response'").collect()}
+    assert bytes(got[20 << 20].payload) == html.encode() and bytes(got[1].payload) == b"b"
+
+
 def test_op2(spark, pages, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     rows = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in WA.op2_warc(spark, str(tmp_path)).collect())
@@ -47,4 +79,4 @@ def test_op2(spark, pages, tmp_path):
 def test_broken_archives():
     for bad in (b"x", b"WARC/1.1\r\ncontent-length: 9\r\n\r\nabc\r\n\r\n"):
         with pytest.raises(ValueError):
-            list(WA.parse(bad))
+            list(WA.parse([bad]))
