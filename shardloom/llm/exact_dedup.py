@@ -25,8 +25,9 @@ def cut_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK, ascii: bool = Fal
     """
     of = lambda r, low=0x20: "[" + "".join(f"\\u{c:04x}" for c in range(low, 0xC0 if low > 0x20 else 0x100) if c % 8 == r) + "]"
     start = "[\\u0000-\\u007f]?[\\u00c2-\\u00f4][\\u0080-\\u00bf]{0,2}"
-    rules = [of(1) + of(4) + of(0)] + ([] if ascii else [start.join([of(1, 0x80), of(4, 0x80), of(0, 0x80)])])
-    return f"(?s).{{{least},{most}}}?(?<={'|'.join(rules)})|.{{1,{most}}}"
+    # The last byte is looked at alone first: in most places it settles the matter.
+    rules = [f"(?<={of(1)}{of(4)}{of(0)})"] + ([] if ascii else [f"(?<={of(0, 0x80)})(?<={start.join([of(1, 0x80), of(4, 0x80), of(0, 0x80)])})"])
+    return f"(?s).{{{least},{most}}}?(?:{'|'.join(rules)})|.{{1,{most}}}"
 
 
 def chunks(text, least: int = MIN_CHUNK, most: int = MAX_CHUNK):
@@ -50,12 +51,13 @@ def chunk_recipes(docs: DataFrame, text="text", name=F.xxhash64, least: int = MI
     """
     new = ["recipe", "variants", "_row", "_chunks"]
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    cut = docs.select(*own, chunks(F.coalesce(F.col(text), F.lit("")), least, most).alias("_chunks"), F.monotonically_increasing_id().alias("_row"))
-    cut = written(cut.withColumn("recipe", F.transform("_chunks", lambda c: name(c))), "chunks")
-    each = cut.select("_row", F.posexplode(F.arrays_zip("recipe", "_chunks")).alias("pos", "c")).select("_row", "pos", F.col("c.recipe").alias("name"), F.col("c._chunks").alias("chunk"))
+    # One expression, so that it is evaluated once.
+    named = F.transform(chunks(F.coalesce(F.col(text), F.lit("")), least, most), lambda c: F.struct(name(c).alias("name"), c.alias("chunk")))
+    cut = written(docs.select(*own, named.alias("_chunks"), F.monotonically_increasing_id().alias("_row")), "chunks")
+    each = cut.select("_row", F.posexplode("_chunks").alias("pos", "c")).select("_row", "pos", "c.name", "c.chunk")
     distinct = each.groupBy("name", "chunk").agg(F.count(F.lit(1)).alias("n"))
     clash = written(distinct.groupBy("name").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("name"), "chunk-clash")
-    recipes = cut.select(*own, "recipe", "_row")
+    recipes = cut.select(*own, F.col("_chunks.name").alias("recipe"), "_row")
     if clash.isEmpty():
         return recipes.withColumn("variants", F.lit(None).cast("array<bigint>"))
     # Ranks by content, of the contents under the few clashing names only.
