@@ -21,7 +21,7 @@ from .common import small_batches, table, written
 from .hashing import Numbers, ngram_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 12
-#: Words of a shard, about; stretches of an anchor beyond which its windows are routed one by one.
+#: Words of a shard, about; distinct stretches of an anchor beyond which its windows are routed one by one.
 SHARD_WORDS, HOT = 400_000, 4000
 #: Rows of a block of the index's minima.
 _FAN = 64
@@ -188,9 +188,13 @@ class FMIndex:
         return self.values[self._least[self._window.rank(left.astype(np.int64))]]
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
 def plain(text: str | None) -> bytes:
     """A text's words with one space between."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+    return b" ".join(words_of(text))
 
 
 def anchored(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR):
@@ -250,40 +254,34 @@ def repeated_words(docs: DataFrame, id="doc_id", text="text", window: int = WIND
         for batch in batches:
             rows = []
             for t in batch.column(2).to_pylist():
-                data = plain(t)
-                words = data.split()
-                anchors, runs = np.unique(anchored(word_hashes(words), window, size)[0], return_counts=True)
-                rows.append((_digest(data), len(words), anchors, runs))
-            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["_doc", "_h", "_seq", "_n", "_anchors", "_runs"])
+                words = words_of(t)
+                rows.append((_digest(b" ".join(words)), len(words), np.unique(anchored(word_hashes(words), window, size)[0])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_columns(rows, pa.binary(), pa.int64(), pa.list_(pa.int64()))], ["_doc", "_h", "_seq", "_n", "_anchors"])
 
     base = _keyed(docs, id, text).select("_doc", "_h", "_text")
-    signed = base.mapInArrow(sign, "_doc bigint, _h bigint, _seq binary, _n bigint, _anchors array<bigint>, _runs array<bigint>")
+    signed = base.mapInArrow(sign, "_doc bigint, _h bigint, _seq binary, _n bigint, _anchors array<bigint>")
     signed = written(signed.filter(F.col("_n") >= window), "anchors")
     firsts = written(signed.groupBy("_seq").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1").select("_seq", "_first"), "copies")
     copies = signed.select("_doc", "_h", "_seq", "_n").join(firsts, "_seq").filter("_doc > _first").select("_doc", "_h", "_seq", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_n").alias("end"))).alias("spans")).distinct()
-    alone = signed.join(firsts, "_seq", "left").filter("_first is null or _doc = _first").select("_doc", "_h", F.explode(F.arrays_zip("_anchors", "_runs")).alias("a")).select("_doc", "_h", F.col("a._anchors").alias("_anchor"), F.col("a._runs").alias("_runs"))
-    shared = alone.groupBy("_anchor").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"), F.sum("_runs").alias("n")).filter("lo < hi")
-    shared = written(shared.select("_anchor", "lo", "hi", (F.col("n") > hot).alias("hot")), "shared-anchors")
-    wanted = alone.join(shared, "_anchor").groupBy("_doc", "_h").agg(F.collect_set(F.struct("_anchor", "lo", "hi", "hot")).alias("_wanted"))
+    alone = signed.join(firsts, "_seq", "left").filter("_first is null or _doc = _first").select("_doc", "_h", F.explode("_anchors").alias("_anchor"))
+    shared = written(alone.groupBy("_anchor").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).filter("lo < hi"), "shared-anchors")
+    wanted = alone.join(shared, "_anchor").groupBy("_doc", "_h").agg(F.collect_set(F.struct("_anchor", "lo", "hi")).alias("_wanted"))
     # The text moves once, to the few anchors that it shares.
-    work = base.join(wanted.hint("shuffle_hash"), ["_doc", "_h"]).select("_doc", "_h", "_text", "_wanted._anchor", "_wanted.lo", "_wanted.hi", "_wanted.hot")
+    work = base.join(wanted.hint("shuffle_hash"), ["_doc", "_h"]).select("_doc", "_h", "_text", "_wanted._anchor", "_wanted.lo", "_wanted.hi")
 
     def cut(batches):
         for batch in batches:
             rows = []
-            for doc, h, t, *keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, known = plain(t), dict(zip(keys[0], zip(*keys[1:], strict=True), strict=True))
-                parts = data.split()
+            for doc, h, t, keys, los, his in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts, known = words_of(t), dict(zip(keys, zip(los, his, strict=True), strict=True))
                 anchors, first, end = anchored(word_hashes(parts), window, size)
-                pick = np.flatnonzero(np.isin(anchors, np.array(keys[0], np.int64)))
-                seq = _digest(data)
+                pick = np.flatnonzero(np.isin(anchors, np.array(keys, np.int64)))
+                seq = _digest(b" ".join(parts))
                 for k in pick.tolist():
-                    a, b, key = int(first[k]), int(end[k]), int(anchors[k])
-                    lo, hi, is_hot = known[key]
-                    words = b" ".join(parts[a : b + window - 1])
-                    windows = [_digest(b" ".join(parts[i : i + window])) for i in range(a, b)] if is_hot else None
-                    rows.append((key, _digest(words), words, doc, h, seq, a, doc < hi, doc > lo, windows))
+                    key, a = int(anchors[k]), int(first[k])
+                    lo, hi = known[key]
+                    words = b" ".join(parts[a : int(end[k]) + window - 1])
+                    rows.append((key, _digest(words), words, doc, h, seq, a, doc < hi, doc > lo))
                     if len(rows) > 4000:
                         yield stretch_batch(rows)
                         rows = []
@@ -291,26 +289,28 @@ def repeated_words(docs: DataFrame, id="doc_id", text="text", window: int = WIND
                 yield stretch_batch(rows)
 
     def stretch_batch(rows):
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["_key", "_digest", "_words", "_doc", "_h", "_seq", "_at", "_in", "_out", "_windows"])
+        return pa.RecordBatch.from_arrays(_columns(rows, pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_()), ["_key", "_digest", "_words", "_doc", "_h", "_seq", "_at", "_in", "_out"])
 
-    stretches = written(work.mapInArrow(cut, "_key bigint, _digest binary, _words binary, _doc bigint, _h bigint, _seq binary, _at bigint, _in boolean, _out boolean, _windows array<binary>"), "stretches")
-    plain_ones = stretches.filter("_windows is null")
+    stretches = written(work.mapInArrow(cut, "_key bigint, _digest binary, _words binary, _doc bigint, _h bigint, _seq binary, _at bigint, _in boolean, _out boolean"), "stretches")
     # What one document has in front of the others' is indexed, what one has behind others' is streamed.
-    distinct = plain_ones.groupBy("_key", "_digest", "_words").agg(F.min("_doc").alias("_least"), F.max("_in").alias("_in"), F.max("_out").alias("_out"))
-    places = plain_ones.filter("_out").select("_digest", "_doc", "_h", "_seq", "_at")
-    if not shared.filter("hot").isEmpty():
-        # Of a hot anchor only digests of windows move, until it is known which ones several documents have. Each of
-        # these moves once, keyed by its own content, so that no shard gets all that share an anchor.
-        row = ["_doc", "_h", "_seq", "_at"]
-        each = stretches.filter("_windows is not null").select(*row, F.posexplode("_windows").alias("_k", "_digest"))
-        common = written(each.groupBy("_digest").agg(F.min(F.struct(*row, "_k")).alias("m"), F.max("_doc").alias("_last")).filter("m._doc < _last").select("_digest", "m.*"), "hot-windows")
-        words = F.array_join(F.slice(F.split(F.col("_words").cast("string"), " "), F.col("_k") + 1, F.lit(window)), " ").cast("binary")
-        once = common.join(stretches.filter("_windows is not null").select(*row, "_words"), row).select(F.xxhash64("_digest").alias("_key"), "_digest", words.alias("_words"), F.col("_doc").alias("_least"), F.lit(True).alias("_in"), F.lit(True).alias("_out"))
-        distinct = distinct.unionByName(once.dropDuplicates(["_digest"]))
-        later = each.join(common.select("_digest", F.col("_doc").alias("_first")), "_digest").filter("_doc > _first")
-        places = places.unionByName(later.select("_digest", "_doc", "_h", "_seq", (F.col("_at") + F.col("_k")).alias("_at")))
-    distinct = written(distinct, "distinct-stretches")
+    distinct = written(stretches.groupBy("_key", "_digest", "_words").agg(F.min("_doc").alias("_least"), F.max("_doc").alias("_most"), F.max("_in").alias("_in"), F.max("_out").alias("_out")), "distinct-stretches")
+    shared_hot = written(distinct.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select(F.col("_key").alias("_hot")), "hot-anchors")
+    if shared_hot.isEmpty():
+        runs = _search(distinct, window, shard_words)
+    else:
+        cool = distinct.join(shared_hot, F.col("_key") == F.col("_hot"), "left_anti")
+        runs = _search(cool, window, shard_words).unionByName(_search_hot(distinct.join(shared_hot, F.col("_key") == F.col("_hot"), "left_semi"), window, shard_words))
+    found = stretches.filter("_out").select("_digest", "_doc", "_h", "_seq", "_at").join(runs, "_digest").filter("doc < _doc")
+    spans = found.select("_doc", "_h", "_seq", F.struct((F.col("_at") + F.col("a")).alias("start"), (F.col("_at") + F.col("b") - 1 + window).alias("end")).alias("s"))
+    return spans.groupBy("_doc", "_h", "_seq").agg(F.sort_array(F.collect_set("s")).alias("spans")).unionByName(copies)
+
+
+def _columns(rows: list[tuple], *kinds) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+
+def _search(distinct: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """(_digest, a, b, doc), written: the runs of first_documents() for distinct stretches, those of a key in one shard."""
     total = distinct.agg(F.sum(F.octet_length("_words"))).first()[0] or 0
     shards = max(1, total // (6 * shard_words) + 1)
     sharded = distinct.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards))).select("_shard", "_digest", "_words", "_least", "_in", "_out").repartition(F.col("_shard")).sortWithinPartitions("_shard")
@@ -333,10 +333,42 @@ def repeated_words(docs: DataFrame, id="doc_id", text="text", window: int = WIND
             yield found()
 
     runs = sharded.mapInArrow(search, "_digest binary, a array<bigint>, b array<bigint>, doc array<bigint>")
-    runs = written(runs.select("_digest", F.explode(F.arrays_zip("a", "b", "doc")).alias("r")).select("_digest", "r.*"), "runs")
-    found = places.join(runs, "_digest").filter("doc < _doc")
-    spans = found.select("_doc", "_h", "_seq", F.struct((F.col("_at") + F.col("a")).alias("start"), (F.col("_at") + F.col("b") - 1 + window).alias("end")).alias("s"))
-    return spans.groupBy("_doc", "_h", "_seq").agg(F.sort_array(F.collect_set("s")).alias("spans")).unionByName(copies)
+    return written(runs.select("_digest", F.explode(F.arrays_zip("a", "b", "doc")).alias("r")).select("_digest", "r.*"), "runs")
+
+
+def _search_hot(distinct: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """The same for anchors with many distinct stretches, whose windows are dealt out one by one.
+
+    First only digests of windows move, until it is known which ones several documents have. Each of these
+    is searched for once, in the shard of its own content, and the answers go back to the stretches.
+    """
+
+    def windows(batches):
+        for batch in batches:
+            rows = []
+            for digest, words, least, most in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = words.split()
+                rows += [(digest, k, _digest(b" ".join(parts[k : k + window])), least, most) for k in range(len(parts) - window + 1)]
+            yield pa.RecordBatch.from_arrays(_columns(rows, pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), ["_of", "_k", "_window", "_least", "_most"])
+
+    each = written(distinct.select("_digest", "_words", "_least", "_most").mapInArrow(windows, "_of binary, _k int, _window binary, _least bigint, _most bigint"), "hot-windows")
+    common = each.groupBy("_window").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"), F.min(F.struct("_of", "_k")).alias("m")).filter("_least < _most")
+    common = written(common.select("_window", "_least", "m.*"), "common-windows")
+    words = F.array_join(F.slice(F.split(F.col("_words").cast("string"), " "), F.col("_k") + 1, F.lit(window)), " ").cast("binary")
+    once = common.join(distinct.select(F.col("_digest").alias("_of"), "_words"), "_of").select(F.xxhash64("_window").alias("_key"), F.col("_window").alias("_digest"), words.alias("_words"), "_least", F.lit(True).alias("_in"), F.lit(True).alias("_out"))
+    answers = _search(once, window, shard_words).select(F.col("_digest").alias("_window"), "doc")
+    by_stretch = each.select("_of", "_k", "_window").join(answers, "_window").groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("_k", "doc"))).alias("w"))
+
+    def joined(batches):
+        for batch in batches:
+            rows = []
+            for digest, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, doc = np.array([w["_k"] for w in found], np.int64), np.array([w["doc"] for w in found], np.int64)
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+                rows += zip([digest] * len(new), at[new].tolist(), (at[np.append(new[1:], len(at)) - 1] + 1).tolist(), doc[new].tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays(_columns(rows, pa.binary(), pa.int64(), pa.int64(), pa.int64()), ["_digest", "a", "b", "doc"])
+
+    return written(by_stretch.mapInArrow(joined, "_digest binary, a bigint, b bigint, doc bigint"), "hot-runs")
 
 
 def substring_dedup(docs: DataFrame, id="doc_id", text="text", window: int = WINDOW, **options) -> DataFrame:
@@ -360,7 +392,7 @@ def substring_dedup(docs: DataFrame, id="doc_id", text="text", window: int = WIN
                     seq = _digest(data)
                     for own in known:
                         if own["_seq"] == seq:
-                            parts, end, kept = data.split(), 0, []
+                            parts, end, kept = data.split(b" "), 0, []
                             for s in own["spans"]:
                                 kept += parts[end : max(end, s["start"])]
                                 gone += max(0, s["end"] - max(end, s["start"]))
