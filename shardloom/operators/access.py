@@ -10,6 +10,8 @@ from ..scratch import dense_index
 
 #: A metadata table of spans is broadcast up to so many rows.
 BROADCAST_SPANS = 100_000
+#: A request for so many rows at most is a list in the filter.
+FEW_ROWS = 1000
 
 
 def point(entries: DataFrame, row: int, col: int) -> DataFrame:
@@ -45,8 +47,13 @@ def request(spark: SparkSession, rows: list[int], extent: int) -> DataFrame:
 
 
 def gather(entries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ord, row, col, value) for a request; a row without entries has one line with nulls."""
-    return wanted.select("ord", "row").join(nonzero(entries), "row", "left").select("ord", "row", "col", "value")
+    """(ord, row, col, value) for a request; a row without entries has one line with nulls.
+
+    A request for few rows is a filter that reaches the scan, below any sums that make the entries.
+    """
+    few = [r.row for r in wanted.select("row").distinct().limit(FEW_ROWS + 1).collect()]
+    found = nonzero(entries.filter(F.col("row").isin(few)) if len(few) <= FEW_ROWS else entries)
+    return wanted.select("ord", "row").join(found, "row", "left").select("ord", "row", "col", "value")
 
 
 def read_range(entries: DataFrame, start: int, count: int, extent: int) -> DataFrame:
@@ -158,14 +165,13 @@ def source_totals(entries: DataFrame, obs: DataFrame, source: str) -> DataFrame:
 def span_of(df: DataFrame, value: str, spans: DataFrame, id: str) -> DataFrame:
     """df with the id of the span [row_begin, row_end) that its value lies in, or null.
 
-    Spans are metadata, one row per partition or shard. Few are broadcast; more meet their values in
-    buckets of the spans' mean width, so that no pair outside a bucket is formed.
+    Spans are metadata, one row per partition or shard. They meet their values in buckets of the spans'
+    mean width, so that no pair outside a bucket is formed; few of them are broadcast.
     """
-    few = spans.limit(BROADCAST_SPANS + 1).count()
+    few, width = spans.agg(F.count(F.lit(1)), F.avg(F.col("row_end") - F.col("row_begin"))).first()
     s = spans.select(F.col(id), F.col("row_begin").alias("_b"), F.col("row_end").alias("_e")).filter("_b < _e")
-    if few <= BROADCAST_SPANS:
-        return df.join(F.broadcast(s), (F.col(value) >= F.col("_b")) & (F.col(value) < F.col("_e")), "left").drop("_b", "_e")
-    width = max(1, int(spans.agg(F.avg(F.col("row_end") - F.col("row_begin"))).first()[0]))
+    width = max(1, int(width or 1))
     bucket = s.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_b") / width), F.floor((F.col("_e") - 1) / width))))
+    bucket = F.broadcast(bucket) if few <= BROADCAST_SPANS else bucket
     keyed = df.withColumn("_k", F.floor(F.col(value) / width))
     return keyed.join(bucket, (keyed["_k"] == bucket["_k"]) & (F.col(value) >= F.col("_b")) & (F.col(value) < F.col("_e")), "left").select(*[keyed[c] for c in df.columns], id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,8 +63,12 @@ def tune_blocked_ell(entries: DataFrame, rows: int, sizes=BLOCK_SIZES) -> DataFr
     width is the most distinct column blocks of a row block; the least padded size wins, then the
     largest fill, then the larger block. Blocks are found once and counted by candidate in one pass.
     """
-    sized = nonzero(entries).select("row", "col", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])).alias("block_size"))
-    block = sized.select("block_size", F.floor(F.col("row") / F.col("block_size")).alias("rb"), F.floor(F.col("col") / F.col("block_size")).alias("cb")).distinct()
+    # Blocks of a size that divides all are found first; larger ones are found among those.
+    unit = gcd(*sizes)
+    small = nonzero(entries).select(F.floor(F.col("row") / unit).alias("r"), F.floor(F.col("col") / unit).alias("c")).distinct()
+    sized = small.select("r", "c", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sizes])).alias("block_size"))
+    at = lambda x: F.floor(F.col(x) * unit / F.col("block_size"))
+    block = sized.select("block_size", at("r").alias("rb"), at("c").alias("cb")).distinct()
     per = block.groupBy("block_size", "rb").agg(F.count(F.lit(1)).alias("n")).groupBy("block_size").agg(F.max("n").alias("width"), F.sum("n").alias("blocks"))
     per = _candidates(entries.sparkSession, sizes, "block_size").join(per, "block_size", "left").fillna(0, ["width", "blocks"])
     row_blocks = F.ceil(F.lit(rows) / F.col("block_size")).cast("bigint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -104,23 +105,31 @@ def systematic_sample(entries: DataFrame, rows: int, budget: int = SAMPLE_ROWS)
 def width_segments(histogram: dict[int, int], k: int, fixed: int = 16, slot_bytes: int = 6) -> tuple[int, list[tuple[int, int]]]:
     """(cost, [(rows, width)]): at most k segments of rows sorted by width, with the least sum of fixed + slot_bytes * rows * widest.
 
-    histogram: rows by width; a few distinct widths whatever the matrix. Neighbours of one width are one segment.
+    histogram: rows by width. Neighbours of one width are one segment. For each number of segments the best
+    cut before a width is the lowest, there, of lines that fall ever steeper: the lower hull of those lines
+    is walked once, so that the work is k times the number of widths.
     """
     widths = sorted(w for w, n in histogram.items() if n)
     if not widths:
         return 0, []
-    upto = [0]
-    for w in widths:
-        upto.append(upto[-1] + histogram[w])
+    upto = [0, *accumulate(histogram[w] for w in widths)]
     n, inf = len(widths), float("inf")
     cost = [0] + [inf] * n
     cut: list[list[int]] = []
     for _ in range(min(k, n)):
-        new, back = list(cost), [-1] * (n + 1)
+        new, back, hull, at = list(cost), [-1] * (n + 1), [], 0
+        value = lambda i, x: cost[i] + fixed - slot_bytes * upto[i] * x  # noqa: B023, E731
         for j in range(1, n + 1):
-            for i in range(j):
-                if cost[i] < inf and (c := cost[i] + fixed + slot_bytes * (upto[j] - upto[i]) * widths[j - 1]) < new[j]:
-                    new[j], back[j] = c, i
+            if cost[j - 1] < inf:
+                while len(hull) > 1 and _above(hull[-2], hull[-1], j - 1, cost, upto, slot_bytes):
+                    hull.pop()
+                hull.append(j - 1)
+                at = min(at, len(hull) - 1)
+            x = widths[j - 1]
+            while at + 1 < len(hull) and value(hull[at + 1], x) <= value(hull[at], x):
+                at += 1
+            if hull and (c := value(hull[at], x) + slot_bytes * upto[j] * x) < new[j]:
+                new[j], back[j] = c, hull[at]
         cut.append(back)
         cost = new
     out, j, level = [], n, len(cut) - 1
@@ -133,6 +142,11 @@ def width_segments(histogram: dict[int, int], k: int, fixed: int = 16, slot_byte
     return int(cost[n]), out[::-1]
 
 
+def _above(a: int, b: int, c: int, cost: list, upto: list[int], slope: int) -> bool:
+    """Whether the line of b is nowhere below both those of a and c."""
+    return (cost[c] - cost[a]) * (upto[b] - upto[a]) <= (cost[b] - cost[a]) * (upto[c] - upto[a])
+
+
 def choose_bucket_count(histogram: dict[int, int], most: int = MAX_BUCKETS) -> tuple[int, int]:
     """(buckets, bytes) with the least bytes, then the fewest buckets; rows are cut into equal counts by width."""
     widths = sorted(histogram)
@@ -160,10 +174,13 @@ def width_histogram(entries: DataFrame, spine: DataFrame) -> DataFrame:
 
 
 def bucket_costs(entries: DataFrame, spine: DataFrame, rows: int, most: int = MAX_BUCKETS) -> DataFrame:
-    """(buckets, bytes) for each number of equal-count buckets of rows sorted by nnz."""
-    ranked = nnz_buckets(entries, spine, 1, rows).select("rank", "nnz")
-    each = ranked.withColumn("buckets", F.explode(F.sequence(F.lit(1), F.lit(min(most, max(1, rows))))))
-    # The bucket b of rows floor(b * n / k) up to floor((b + 1) * n / k).
-    b = F.floor(((F.col("rank") + 1) * F.col("buckets") - 1) / F.lit(rows))
-    per = each.groupBy("buckets", b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max("nnz").alias("w"))
-    return per.groupBy("buckets").agg(F.sum(F.lit(16) + F.lit(6) * F.col("n") * F.col("w")).alias("bytes")).select(F.col("buckets").cast("bigint"), "bytes")
+    """(buckets, bytes) for each number of equal-count buckets of rows sorted by nnz.
+
+    The histogram of widths holds all that is needed: a bucket is as wide as its last row, whose width is
+    the first that has so many rows up to it.
+    """
+    cuts = [(k, b, (b + 1) * rows // k - b * rows // k, (b + 1) * rows // k) for k in range(1, min(most, max(1, rows)) + 1) for b in range(k)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("buckets"), F.lit(b).alias("b"), F.lit(n).cast("bigint").alias("n"), F.lit(end).cast("bigint").alias("end")) for k, b, n, end in cuts if n]))
+    upto = width_histogram(entries, spine).withColumn("upto", F.sum("rows").over(W.orderBy("width")))
+    per = upto.select("width", "upto", each.alias("c")).filter("upto >= c.end").groupBy("c.buckets", "c.b").agg(F.first("c.n").alias("n"), F.min("width").alias("w"))
+    return per.groupBy("buckets").agg(F.sum(F.lit(16) + F.lit(6) * F.col("n") * F.col("w")).alias("bytes"))

@@ -10,10 +10,13 @@ import heapq
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import LOCAL_LIMIT
+from ..scratch import written
 
 
 def cut(weights: Iterable[Sequence[int]], limits: Sequence[int], idle: bool = False) -> list[int]:
@@ -42,26 +45,40 @@ def partitions_by_nnz(row_nnz: Iterable[int], most: int) -> list[int]:
     return [*out, n] if n else [0]
 
 
-def partition_table(row_nnz: DataFrame, most: int) -> DataFrame:
-    """(row, partition_id) of partitions_by_nnz() for rows (row, nnz) as a fold in the executors' order of rows.
+def partition_offsets(row_nnz: DataFrame, most: int) -> list[int]:
+    """partitions_by_nnz() of rows (row, nnz), as the first row of each partition and what follows the last row.
 
-    The fold is sequential: it is one task's work, on two numbers a row. Use range_partitions() where rows are too many for that.
+    Counts are made in parallel and written; then one task reads them in order and jumps from cut to cut.
+    Only offsets, as many as partitions, reach the driver.
     """
-    def fold(batches):
-        import numpy as np
-        import pyarrow as pa
+    counts = written(row_nnz.select("row", "nnz"), "row-counts")
 
-        total, part = 0, 0
+    def fold(batches):
+        total = 0
         for batch in batches:
-            ids = np.empty(batch.num_rows, np.int64)
-            for i, w in enumerate(batch.column(1).to_pylist()):
-                if most and total and total + w > most:
-                    part, total = part + 1, 0
-                total += w
-                ids[i] = part
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids)], ["row", "partition_id"])
-
-    return row_nnz.select("row", "nnz").coalesce(1).sortWithinPartitions("row").mapInArrow(fold, "row bigint, partition_id bigint")
+            row, upto = batch.column(0).to_numpy(), np.cumsum(batch.column(1).to_numpy())
+            cuts, begin, base = [], 0, -total
+            while most and begin < len(upto):
+                # The first row that passes the limit; if nothing is there before it, the one after.
+                i = max(begin, int(np.searchsorted(upto, base + most, "right")))
+                i += i < len(upto) and (upto[i - 1] if i else 0) == base
+                if i < len(upto):
+                    cuts.append(int(row[i]))
+                    base = int(upto[i - 1]) if i else 0
+                begin = i
+            total = int(upto[-1]) - base
+            yield pa.RecordBatch.from_arrays([pa.array([int(row[0])]), pa.array([int(row[-1]) + 1]), pa.array([cuts], pa.list_(pa.int64()))], ["first", "end", "cuts"])
+
+    found = counts.coalesce(1).sortWithinPartitions("row").mapInArrow(fold, "first bigint, end bigint, cuts array<bigint>").collect()
+    return [found[0].first, *(c for r in found for c in r.cuts), found[-1].end] if found else [0]
+
+
+def partition_table(row_nnz: DataFrame, most: int) -> DataFrame:
+    """(row, partition_id) of partition_offsets()."""
+    from ..operators.access import span_of
+
+    spans = spans_table(row_nnz.sparkSession, partition_offsets(row_nnz, most), "partition_id")
+    return span_of(row_nnz.select("row"), "row", spans, "partition_id")
 
 
 def range_partitions(row_nnz: DataFrame, rows: int, most: int, ranges: int = 100_000) -> list[int]:

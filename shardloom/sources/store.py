@@ -1,16 +1,19 @@
-"""Datasets as versioned folders of Parquet tables.
+"""Datasets as folders of Parquet tables under numbered metadata.
 
-<path>/v<generation>/{entries,obs,var,attributes,...} and <path>/CURRENT.json, which names the active
-generation. A generation is written whole before CURRENT.json changes, in one rename; readers that have
-an older one keep reading it. Entries are sorted by row within shard folders, so that row ranges prune
-both folders and row groups.
+<path>/meta/<number>.json says all about a version: the folders that hold entries, obs, var and tables, the
+shards and the service generations. A version is written by creating its file, which must not exist: of two
+writers that start from one version, the second fails. Data folders are never written again, so an older
+version stays readable, and appending writes the new rows only. Entries are sorted by row within shard
+folders, so that row ranges prune both folders and row groups.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, replace
+import uuid
+from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,27 +27,52 @@ from ..scratch import hadoop_path
 SCHEMA_VERSION = 1
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A file replaced in one rename."""
-    fs, p = hadoop_path(spark, path)
-    _, new = hadoop_path(spark, path + ".new")
-    out = fs.create(new, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(new, p):
-        raise OSError(f"{path} could not be put in place")
+_ENTRIES = "row bigint, col bigint, value double, shard_id bigint"
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
-    """A small file; while it is being replaced, the new one beside it."""
-    fs, p = hadoop_path(spark, path)
+def _published(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions, falling."""
+    fs, p = hadoop_path(spark, f"{path}/meta")
     if not fs.exists(p):
-        _, p = hadoop_path(spark, path + ".new")
-        if not fs.exists(p):
-            raise FileNotFoundError(f"{path}: no dataset there")
-    return "\n".join(r.value for r in spark.read.text(p.toString()).collect())
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+
+def _current(spark: SparkSession, path: str) -> dict:
+    """The last version's metadata, read without a job; one that is still being written doesn't count."""
+    for n in _published(spark, path):
+        fs, p = hadoop_path(spark, f"{path}/meta/{n}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            continue
+        finally:
+            stream.close()
+    raise FileNotFoundError(f"{path}: no dataset there")
+
+
+def _publish(spark: SparkSession, path: str, meta: dict, before: int = 0) -> dict:
+    """Writes metadata as the version after `before`; FileExistsError if another writer did so meanwhile."""
+    last = _published(spark, path)
+    if any(_current(spark, path)["version"] > before for _ in last[:1] if last[0] > before):
+        raise FileExistsError(f"{path} has a version after {before}")
+    meta = meta | {"version": max([before, *last]) + 1}
+    fs, p = hadoop_path(spark, f"{path}/meta/{meta['version']}.json")
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "exist" in str(e.java_exception).lower():
+            raise FileExistsError(f"{path} has a version after {before}") from None
+        raise
+    out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
+    out.close()
+    return meta
+
+
+def _new_folder(kind: str) -> str:
+    return f"{kind}-{uuid.uuid4().hex[:12]}"
 
 
 @dataclass(frozen=True)
@@ -56,10 +84,6 @@ class Dataset:
     meta: dict
     role: str = "owner"
 
-    @property
-    def folder(self) -> str:
-        return f"{self.path}/v{self.meta['service']['active']}"
-
     @property
     def shape(self) -> tuple[int, int]:
         return self.meta["rows"], self.meta["cols"]
@@ -70,7 +94,10 @@ class Dataset:
 
     def _table(self, name: str) -> DataFrame:
         sv.require(self.role, "read")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        folders = [f"{self.path}/{f}" for f in self.meta["folders"][name]]
+        if name == "entries":
+            return self.spark.read.schema(_ENTRIES).option("basePath", f"{self.path}/entries").parquet(*folders)
+        return self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*folders)
 
     @property
     def obs(self) -> DataFrame:
@@ -127,7 +154,7 @@ class Dataset:
         return sv.Service(**self.meta["service"])
 
     def snapshot(self) -> sv.Snapshot:
-        summary = {k: v for k, v in self.meta.items() if k not in ("service", "shards")} | {"shards": len(self.meta["shards"]) - 1, "shard_offsets": self.meta["shards"]}
+        summary = {k: v for k, v in self.meta.items() if k not in ("service", "shards", "folders", "tables", "version")} | {"shards": len(self.meta["shards"]) - 1, "shard_offsets": self.meta["shards"]}
         return sv.Snapshot(self.path, summary, self.service)
 
     def describe(self) -> dict:
@@ -159,16 +186,15 @@ def _feature_hash(var: DataFrame) -> int:
     return feature_order_hash(str(r[0]) for r in var.orderBy("col").select(name).toLocalIterator())
 
 
-def _counts(m: SparseMatrix) -> int:
-    return nonzero(m.entries).count()
-
-
-def _write_generation(spark: SparkSession, m: SparseMatrix, folder: str, shards: tuple[int, ...]) -> None:
-    spans = spans_table(spark, shards, "shard_id")
-    t = access.span_of(nonzero(m.entries).select("row", "col", F.col("value").cast("double").alias("value")), "row", spans, "shard_id")
-    t.repartitionByRange("shard_id", "row").sortWithinPartitions("shard_id", "row", "col").write.partitionBy("shard_id").parquet(f"{folder}/entries")
-    (m.obs if m.obs is not None else spark.range(m.rows).withColumnRenamed("id", "row")).write.parquet(f"{folder}/obs")
-    (m.var if m.var is not None else spark.range(m.cols).withColumnRenamed("id", "col")).write.parquet(f"{folder}/var")
+def _write_part(spark: SparkSession, m: SparseMatrix, path: str, offset: int, shards: tuple[int, ...], first_shard: int) -> tuple[dict, int]:
+    """Writes m's entries and rows, numbered from offset on, to folders of their own: (their names, number of entries)."""
+    names = {"entries": [f"entries/part={uuid.uuid4().hex[:12]}"], "obs": [_new_folder("obs")]}
+    t = access.span_of(nonzero(m.entries).select("row", "col", F.col("value").cast("double").alias("value")), "row", spans_table(spark, shards, "shard_id"), "shard_id")
+    t = t.select((F.col("row") + offset).alias("row"), "col", "value", (F.col("shard_id") + first_shard).alias("shard_id"))
+    t.repartitionByRange("shard_id", "row").sortWithinPartitions("shard_id", "row", "col").write.partitionBy("shard_id").parquet(f"{path}/{names['entries'][0]}")
+    obs = m.obs if m.obs is not None else spark.range(m.rows).withColumnRenamed("id", "row")
+    obs.withColumn("row", F.col("row") + offset).write.parquet(f"{path}/{names['obs'][0]}")
+    return names, Dataset(spark, path, {"folders": names}).entries().count()
 
 
 def create(spark: SparkSession, m: SparseMatrix, path: str, attributes: dict[str, str] | None = None, role: str = "builder") -> Dataset:
@@ -181,63 +207,75 @@ def create(spark: SparkSession, m: SparseMatrix, path: str, attributes: dict[str
     shards = m.shards or partitions
     if m.rows and not {*shards} <= {*partitions}:
         raise ValueError("a shard ends inside a partition")
-    _write_generation(spark, m, f"{path}/v1", shards)
-    meta = {"schema": SCHEMA_VERSION, "rows": m.rows, "cols": m.cols, "partitions": [*partitions], "shards": [*shards], "attributes": attributes or {}, "service": asdict(sv.Service())}
-    ds = Dataset(spark, path, meta, "owner")
-    meta |= {"nnz": ds.entries().count(), "feature_hash": _feature_hash(ds.var)}
-    _write_text(spark, f"{path}/CURRENT.json", json.dumps(meta, sort_keys=True))
-    return open_dataset(spark, path)
+    folders, nnz = _write_part(spark, m, path, 0, shards, 0)
+    folders["var"] = [_new_folder("var")]
+    (m.var if m.var is not None else spark.range(m.cols).withColumnRenamed("id", "col")).write.parquet(f"{path}/{folders['var'][0]}")
+    meta = {"schema": SCHEMA_VERSION, "rows": m.rows, "cols": m.cols, "partitions": [*partitions], "shards": [*shards], "attributes": attributes or {}, "service": asdict(sv.Service()), "folders": folders, "tables": {}, "nnz": nnz}
+    meta["feature_hash"] = _feature_hash(Dataset(spark, path, meta).var)
+    return Dataset(spark, path, _publish(spark, path, meta))
 
 
 def open_dataset(spark: SparkSession, path: str, role: str = "owner") -> Dataset:
     """Reads metadata only. An executor sees what is published, like anyone; it may not write."""
-    meta = json.loads(_read_text(spark, f"{path}/CURRENT.json"))
+    meta = _current(spark, path)
     if meta["schema"] != SCHEMA_VERSION:
         raise ValueError(f"{path} has schema {meta['schema']}, this reads {SCHEMA_VERSION}")
     return Dataset(spark, path, meta, role)
 
 
-def append(ds: Dataset, more: SparseMatrix) -> Dataset:
-    """A new generation with more's rows below: staged as a whole, then published in one rename."""
+def append(ds: Dataset, more: SparseMatrix, attributes: dict[str, str] | None = None) -> Dataset:
+    """A new generation with more's rows below, and attributes added: only they are written, then published in one file.
+
+    FileExistsError if another writer published meanwhile; what was written for it is read by nobody.
+    """
     sv.require(ds.role, "write")
     current = ds.refresh()
-    staged = sv.stage(current.service)
-    rows, cols = current.shape
+    meta, (rows, cols) = current.meta, current.shape
     if more.cols != cols:
         raise ValueError(f"{more.cols} and {cols} columns can't be stacked")
-    shift = lambda t: t.withColumn("row", F.col("row") + rows)
-    obs = more.obs if more.obs is not None else ds.spark.range(more.rows).withColumnRenamed("id", "row")
-    partitions = (*current.meta["partitions"], *(x + rows for x in (more.partitions or (0, more.rows))[1:]))
-    shards = (*current.meta["shards"], *(x + rows for x in (more.shards or more.partitions or (0, more.rows))[1:]))
-    whole = SparseMatrix(current.entries().unionByName(shift(more.entries)), rows + more.rows, cols, current.obs.unionByName(shift(obs), allowMissingColumns=True), current.var)
-    _write_generation(ds.spark, whole, f"{ds.path}/v{staged.staged}", shards)
-    now = sv.publish(current.service, staged)
-    meta = current.meta | {"rows": whole.rows, "partitions": [*partitions], "shards": [*shards], "service": asdict(now)}
-    meta["nnz"] = replace(current, meta=meta).entries().count()
-    _write_text(ds.spark, f"{ds.path}/CURRENT.json", json.dumps(meta, sort_keys=True))
-    return ds.refresh()
-
-
-def put_table(ds: Dataset, name: str, table: DataFrame, key: str | None = None) -> None:
-    """Adds a table to the active generation: annotations by row or col, one line for each, or any table without a key."""
+    partitions = more.partitions or (0, more.rows)
+    shards = more.shards or partitions
+    folders, nnz = _write_part(ds.spark, more, ds.path, rows, shards, len(meta["shards"]) - 1)
+    now = sv.publish(current.service, sv.stage(current.service))
+    meta = meta | {
+        "rows": rows + more.rows,
+        "nnz": meta["nnz"] + nnz,
+        "partitions": meta["partitions"] + [x + rows for x in partitions[1:]],
+        "shards": meta["shards"] + [x + rows for x in shards[1:]],
+        "folders": {k: v + folders.get(k, []) for k, v in meta["folders"].items()},
+        "attributes": meta["attributes"] | (attributes or {}),
+        "service": asdict(now),
+    }
+    return Dataset(ds.spark, ds.path, _publish(ds.spark, ds.path, meta, current.meta["version"]), ds.role)
+
+
+def put_table(ds: Dataset, name: str, table: DataFrame, key: str | None = None) -> Dataset:
+    """Adds or replaces a table: annotations by row or col, one line for each, or any table without a key. It stays through later appends."""
     sv.require(ds.role, "metadata")
+    current = ds.refresh()
     if key is not None:
-        extent = ds.shape[0] if key == "row" else ds.shape[1]
+        extent = current.shape[0] if key == "row" else current.shape[1]
         if bad := validate.table(table, key, extent):
             raise ValueError(f"{name}: {bad}")
-    table.write.parquet(f"{ds.folder}/tables/{name}")
+    folder = _new_folder("table")
+    table.write.parquet(f"{ds.path}/{folder}")
+    meta = current.meta | {"tables": current.meta["tables"] | {name: folder}}
+    return Dataset(ds.spark, ds.path, _publish(ds.spark, ds.path, meta, current.meta["version"]), ds.role)
 
 
 def get_table(ds: Dataset, name: str) -> DataFrame:
-    return ds._table(f"tables/{name}")
+    sv.require(ds.role, "read")
+    tables = ds.meta["tables"] if name in ds.meta["tables"] else ds.refresh().meta["tables"]
+    if name not in tables:
+        raise KeyError(f"{ds.path} has no table {name}")
+    return ds.spark.read.parquet(f"{ds.path}/{tables[name]}")
 
 
 def put_attributes(ds: Dataset, attributes: dict[str, str]) -> Dataset:
     """The dataset with these attributes added or replaced."""
     sv.require(ds.role, "metadata")
     meta = ds.refresh().meta
-    _write_text(ds.spark, f"{ds.path}/CURRENT.json", json.dumps(meta | {"attributes": meta["attributes"] | attributes}, sort_keys=True))
-    return ds.refresh()
+    return Dataset(ds.spark, ds.path, _publish(ds.spark, ds.path, meta | {"attributes": meta["attributes"] | attributes}, meta["version"]), ds.role)
 
 
 def derive(ds: Dataset, path: str, rows: list[int], features: list[int], row_groups=(), feature_groups=()) -> Dataset:

@@ -16,11 +16,12 @@ BATCH = "stream.batch"
 def publish_batches(ds: Dataset, stream: DataFrame, checkpoint: str, key: str, col: str, value: str):
     """Starts a query that appends each batch of the stream as new rows, one for each key of the batch.
 
-    A batch that is run again after a failure is known by its number in obs and isn't appended twice.
+    A batch that is run again after a failure is known by its number, which is published with it, and isn't
+    appended twice.
     """
     def batch(df: DataFrame, number: int) -> None:
         current = ds.refresh()
-        if BATCH.replace(".", "_") in current.obs.columns and current.obs.filter(F.col(BATCH.replace(".", "_")) == number).limit(1).count():
+        if int(current.attributes.get(f"{BATCH}:{checkpoint}", -1)) >= number:
             return
         t = written(df.select(F.col(key).alias("row"), F.col(col).cast("bigint").alias("col"), F.col(value).cast("double").alias("value")), "batch")
         keys = written(compact(t.select("row").distinct().withColumn("keep", F.lit(True)), "row"), "batch-rows")
@@ -28,7 +29,7 @@ def publish_batches(ds: Dataset, stream: DataFrame, checkpoint: str, key: str, c
         if n:
             entries = t.groupBy("row", "col").agg(F.sum("value").alias("value")).join(keys, "row").select(F.col("new_row").alias("row"), "col", "value")
             obs = keys.select(F.col("new_row").alias("row"), F.col("row").cast("string").alias("barcode"), F.lit(number).cast("bigint").alias(BATCH.replace(".", "_")))
-            append(current, SparseMatrix(entries, n, current.shape[1], obs))
+            append(current, SparseMatrix(entries, n, current.shape[1], obs), {f"{BATCH}:{checkpoint}": str(number)})
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shardloom import api
 from shardloom.functions import scalars
 from shardloom.matrix import SparseMatrix
-from shardloom.operators import align, validate
+from shardloom.operators import access, align, validate
 from shardloom.plans import partition as plan
 from shardloom.plans import service as sv
 from shardloom.sources import columnar, manifest, mtx, store
@@ -151,6 +151,70 @@ def test_store_versions_and_views(spark, tmp_path):
         store.derive(grown, f"file://{tmp_path}/x", [0, 0], [1])
 
 
+def test_append_writes_new_rows_only_and_tables_stay(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ds"
+    ds = store.create(spark, SparseMatrix(frame(spark, TINY), 2, 4), path)
+    ds = store.put_table(ds, "notes", spark.createDataFrame([(0, "a"), (1, "b")], "row bigint, note string"), "row")
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    one = ds
+    for i in range(3):
+        ds = store.append(ds, SparseMatrix(frame(spark, TINY + i), 2, 4, spark.createDataFrame([(0, i), (1, i)], "row bigint, batch int")))
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert {p: after[p] for p in before} == before
+    assert spark.read.parquet(f"{path}/{ds.meta['folders']['entries'][-1]}").select("row").distinct().count() == 2
+    assert ds.shape == (8, 4) and ds.validate() == (True, "") and ds.nnz == ds.entries().count() and ds.obs.columns == ["row", "batch"]
+    assert (matrix(ds.entries((4, 6)), (6, 4))[4:] == TINY + 1).all()
+    assert store.get_table(ds, "notes").count() == 2 == store.get_table(one, "notes").count()
+    with pytest.raises(KeyError):
+        store.get_table(ds, "other")
+    # Of two writers that start from one version, the second fails.
+    stale = store.open_dataset(spark, path)
+    store.put_attributes(stale, {"x": "1"})
+    monkeypatch.setattr(store.Dataset, "refresh", lambda self: self)
+    with pytest.raises(FileExistsError):
+        store.append(stale, SparseMatrix(frame(spark, TINY), 2, 4))
+    monkeypatch.undo()
+    assert ds.refresh().shape == (8, 4) and ds.refresh().attributes == {"x": "1"}
+
+
+def test_properties_run_no_job(spark, tmp_path):
+    path = f"file://{tmp_path}/ds"
+    store.create(spark, SparseMatrix(frame(spark, TINY), 2, 4), path)
+    spark.sparkContext.setJobGroup("properties", "")
+    view = api.open(path, spark)
+    assert view.shape == (2, 4) and view.dataset.describe()["rows"] == 2 if hasattr(view, "dataset") else view.shape == (2, 4)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("properties")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_offsets_match_the_fold(spark):
+    rng = random.Random(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    for most in (0, 1, 5, 20):
+        w = [rng.choice([0, 0, 1, 2, 3, 30]) for _ in range(120)]
+        t = spark.createDataFrame([*enumerate(w)], "row bigint, nnz bigint").repartition(5)
+        assert plan.partition_offsets(t, most) == plan.partitions_by_nnz(w, most)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plan.partition_offsets(t.limit(0), 5) == [0]
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().toString()
+
+
+def test_plans(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    frame(spark, (rng.random((40, 30)) < 0.3).astype(float)).write.parquet(f"{tmp_path}/e")
+    t = spark.read.parquet(f"{tmp_path}/e")
+    spans = plan.spans_table(spark, [0, 3, 9, 40], "shard_id")
+    assert "NestedLoop" not in plan_of(access.span_of(t, "row", spans, "shard_id"))
+    gathered = access.gather(t.groupBy("row", "col").agg(F.sum("value").alias("value")), access.request(spark, [3, 3, 1], 40))
+    text = gathered._jdf.queryExecution().optimizedPlan().toString()
+    assert "IN (" in text[text.index("Aggregate") :] or "INSET" in text[text.index("Aggregate") :], "requested rows are a filter below the sums"
+    assert plan.partition_table(t.groupBy("row").agg(F.count("col").alias("nnz")), 20).count() == 40
+
+
 def test_service():
     s = sv.Service(canonical=11, plan=12, pack=13, epoch=14, active=15, staged=16)
     staged = sv.stage(s)
