@@ -23,10 +23,13 @@ def resolve_rows(row_map: DataFrame, spine: DataFrame, assays: list[str]) -> Dat
     return spine.select("global_row").join(by, "global_row", "left")
 
 
-def assay_range(entries: DataFrame, assay: str, start: int, count: int) -> DataFrame:
-    """Rows [start, start + count) of one assay's entries (assay_id, row, col, value), renumbered from 0."""
-    if start < 0 or count < 0:
-        raise IndexError("a range must not be negative")
+def assay_range(entries: DataFrame, assay: str, start: int, count: int, extent: int | None = None) -> DataFrame:
+    """Rows [start, start + count) of one assay's entries (assay_id, row, col, value), renumbered from 0.
+
+    With the assay's extent, a range that leaves it is an error.
+    """
+    if start < 0 or count < 0 or extent is not None and start + count > extent:
+        raise IndexError(f"rows {start} to {start + count} are out of range for {extent} rows")
     t = entries.filter((F.col("assay_id") == assay) & (F.col("row") >= start) & (F.col("row") < start + count) & (F.col("value") != 0))
     return t.select((F.col("row") - start).alias("row"), "col", "value")
 

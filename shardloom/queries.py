@@ -13,6 +13,7 @@ from .functions import scalars
 from .matrix import SparseMatrix, dense_entries, triplets
 from .operators import access, align, layout, ordering, reduce, repack, union, validate
 from .plans import partition as plan
+from .scratch import scratch_path
 
 QUERIES, SQL = {}, {}
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -210,9 +211,9 @@ def source_totals(spark, d):
 
 @query(f"""{WITH}, N AS (SELECT count(*)::DOUBLE AS n FROM orders), B AS (SELECT col, sum(value) AS s, sum(value * value) AS q, count(*) AS c FROM T GROUP BY 1),
 R AS (SELECT p_partkey AS col, coalesce(s, 0)::DOUBLE AS feature_sum, coalesce(q, 0)::DOUBLE AS feature_sq_sum, coalesce(c, 0) AS detected, n FROM part LEFT JOIN B ON col = p_partkey, N)
-SELECT col, feature_sum, feature_sq_sum, detected, feature_sum / n AS mean, feature_sq_sum / n - (feature_sum / n) * (feature_sum / n) AS variance, (feature_sum >= 100 AND detected >= 5)::INT AS keep FROM R""")
+SELECT col, feature_sum, feature_sq_sum, detected, feature_sum / n AS mean, feature_sq_sum / n - (feature_sum / n) * (feature_sum / n) AS variance, (feature_sum >= 100 AND detected >= 5 AND feature_sq_sum / n - (feature_sum / n) * (feature_sum / n) >= 0.3)::INT AS keep FROM R""")
 def feature_stats(spark, d):
-    return reduce.feature_stats(entries(spark, d), features_of(spark, d), n_rows(spark, d), min_sum=100, min_detected=5, min_variance=0.0)
+    return reduce.feature_stats(entries(spark, d), features_of(spark, d), n_rows(spark, d), min_sum=100, min_detected=5, min_variance=0.3)
 
 
 @query(f"""{WITH}, N AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, col, sum(value) / any_value(n) AS mean
@@ -424,6 +425,13 @@ def shard_nnz_buckets(spark, d):
     return ordering.shard_nnz_buckets(entries(spark, d), shards, 8)
 
 
+@query(f"""{WITH}, C AS (SELECT o_orderkey AS "row", count(col) AS nnz, coalesce(string_agg(col::VARCHAR, ',' ORDER BY col), '') AS cols FROM orders LEFT JOIN T ON "row" = o_orderkey GROUP BY 1)
+SELECT "row" // {SHARD} AS shard_id, ntile(8) OVER w - 1 AS bucket, row_number() OVER w - 1 AS exec_row, "row", cols FROM C WINDOW w AS (PARTITION BY "row" // {SHARD} ORDER BY nnz, "row")""")
+def shard_bucket_rows(spark, d):
+    shards = rows_of(spark, d).select("row", F.floor(F.col("row") / SHARD).alias("shard_id"))
+    return _text(repack.shard_buckets_view(entries(spark, d), shards, 8), "cols").drop("vals")
+
+
 @query(f'{WITH}, B AS (SELECT p_partkey AS col, sum("row")::DOUBLE / count("row") AS m FROM part LEFT JOIN T ON col = p_partkey GROUP BY 1) SELECT col, row_number() OVER (ORDER BY m NULLS LAST, col) - 1 AS pos FROM B')
 def barycenter_order(spark, d):
     return ordering.barycenter_order(entries(spark, d), features_of(spark, d), "col")
@@ -483,7 +491,9 @@ def width_segments(spark, d):
 
 @query(f"{WITH} SELECT o_orderkey // {SHARD} AS shard_id, (o_orderkey // {SHARD}) % 4 AS device, count(col) AS nnz FROM orders LEFT JOIN T ON o_orderkey = \"row\" GROUP BY 1")
 def place_round_robin(spark, d):
-    return shard_rollup(spark, d).select("shard_id", F.pmod("shard_id", F.lit(4)).alias("device"), "nnz")
+    rolled = shard_rollup(spark, d)
+    devices = spark.createDataFrame([*enumerate(plan.round_robin(rolled.count(), 4))], "shard_id bigint, device int")
+    return rolled.join(devices, "shard_id").select("shard_id", F.col("device").cast("bigint").alias("device"), "nnz")
 
 
 @query()
@@ -495,8 +505,8 @@ def place_by_bytes(spark, d):
 
 @query(f'{WITH} SELECT o_orderkey // {SHARD} AS shard_id, ((count(DISTINCT o_orderkey) + 1) * 4 + count(col) * 6)::BIGINT AS csr_bytes, (count(col) * 10)::BIGINT AS coo_bytes FROM orders LEFT JOIN T ON o_orderkey = "row" GROUP BY 1')
 def layout_bytes(spark, d):
-    r = shard_rollup(spark, d)
-    return r.select("shard_id", ((F.col("rows") + 1) * 4 + F.col("nnz") * 6).alias("csr_bytes"), (F.col("nnz") * 10).alias("coo_bytes"))
+    size = [(r.shard_id, layout.byte_sizes(r.rows, r.nnz)) for r in shard_rollup(spark, d).collect()]  # a row for each shard
+    return spark.createDataFrame([(i, b["csr"], b["coo"]) for i, b in size], "shard_id bigint, csr_bytes bigint, coo_bytes bigint")
 
 
 @query("SELECT l_orderkey AS \"row\", l_partkey AS col, l_quantity AS value FROM lineitem WHERE l_orderkey < 0 OR l_partkey < 0 OR l_partkey >= (SELECT count(*) FROM part) OR l_orderkey >= (SELECT count(*) FROM orders)")
@@ -520,7 +530,8 @@ def u32_products(spark, d):
     return read(spark, d, "customer").select("c_custkey", scalars.mul_u32(F.col("c_custkey"), F.lit(2654435761)).alias("mixed"))
 
 
-@query()
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN x >= 65520 THEN 'inf'::FLOAT WHEN x = 0 THEN 0 ELSE (round_even(x / u, 0) * u)::FLOAT END AS half
+FROM (SELECT *, pow(2, greatest(floor(log2(x)), -14) - 10) AS u FROM (SELECT l_orderkey, l_linenumber, l_extendedprice::FLOAT::DOUBLE AS x FROM lineitem))""")
 def half_precision(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.half("l_extendedprice").alias("half"))
 
@@ -530,3 +541,92 @@ def event_windows(spark, d):
     from .streaming.append import windowed_counts
 
     return windowed_counts(read(spark, d, "events"), "ts", "event_type")
+
+
+def _stored(spark, d, low: int = 0, high: int | None = None) -> SparseMatrix:
+    """The rows low to high (or all from low on) as a matrix of shards of 2,500 rows, of two partitions each but for the last."""
+    n = n_rows(spark, d)
+    high = n if high is None else min(high, n)
+    t = entries(spark, d).filter((F.col("row") >= low) & (F.col("row") < high)).withColumn("row", F.col("row") - low)
+    obs = read(spark, d, "orders").filter(F.col("o_orderkey").between(low, high - 1)).select((F.col("o_orderkey") - low).alias("row"), F.col("o_orderpriority").alias("priority"))
+    var = read(spark, d, "part").select(F.col("p_partkey").alias("col"), F.col("p_type").alias("id"))
+    bounds = [0, *range(1250, high - low, 1250), high - low]
+    return SparseMatrix(t, high - low, n_cols(spark, d), obs, var, tuple(bounds), tuple(bounds[:-1:2]) + (high - low,))
+
+
+def _dataset(spark, d):
+    from .sources import store
+
+    return store.create(spark, _stored(spark, d), scratch_path(spark, "dataset"), {"source": "orders"})
+
+
+@query(f'{WITH} SELECT "row", col, value FROM T')
+def store_round_trip(spark, d):
+    """Written as a dataset, opened again and read whole."""
+    from .sources import store
+
+    return store.open_dataset(spark, _dataset(spark, d).path).entries()
+
+
+@query(f'{WITH} SELECT "row" - 2000 AS "row", col, value FROM T WHERE "row" >= 2000 AND "row" < 2700')
+def store_row_range(spark, d):
+    n = n_rows(spark, d)
+    return _dataset(spark, d).read_range(min(n, 2000), max(0, min(700, n - 2000)))
+
+
+@query('SELECT o_orderkey AS "row", o_orderpriority AS priority FROM orders')
+def store_obs(spark, d):
+    return _dataset(spark, d).obs
+
+
+@query("SELECT p_partkey AS col, p_type AS id FROM part")
+def store_var(spark, d):
+    return _dataset(spark, d).var
+
+
+@query(f'{WITH}, N AS (SELECT count(*) AS n FROM orders) SELECT "row", col, value, o_orderpriority AS priority FROM T JOIN orders ON o_orderkey = "row"')
+def store_append(spark, d):
+    """The first thousand rows as a dataset, the others appended in one generation, with a table that stays."""
+    from .sources import store
+
+    ds = store.create(spark, _stored(spark, d, 0, 1000), scratch_path(spark, "dataset"))
+    ds = store.put_table(ds, "kept", spark.range(1))
+    ds = store.append(ds, _stored(spark, d, 1000))
+    if store.get_table(ds, "kept").count() != 1 or ds.nnz != ds.entries().count():
+        raise AssertionError("the appended dataset isn't whole")
+    return ds.entries().join(ds.obs, "row")
+
+
+@query(f"""{WITH}, P AS (SELECT "row", (row_number() OVER (ORDER BY "row" DESC) - 1) AS new_row FROM (SELECT o_orderkey AS "row" FROM orders WHERE o_orderkey < 40)), C AS (SELECT col, (row_number() OVER (ORDER BY col DESC) - 1) AS new_col FROM V WHERE col % 2 = 1)
+SELECT new_row AS "row", new_col AS col, value FROM T JOIN P USING ("row") JOIN C USING (col)""")
+def store_derived(spark, d):
+    """Forty rows and every other feature, both in falling order, as a dataset of their own."""
+    from .sources import store
+
+    ds = _dataset(spark, d)
+    rows, features = [*range(min(40, ds.shape[0]))][::-1], [*range(1, ds.shape[1], 2)][::-1]
+    return store.derive(ds, scratch_path(spark, "derived"), rows, features).entries()
+
+
+@query(f'{WITH} SELECT "row", col, value FROM T WHERE "row" < 5000')
+def pack_round_trip(spark, d):
+    """The packs of the first two shards, written as sliced ELL and read back."""
+    from .sources import packs
+
+    ds, root = _dataset(spark, d), scratch_path(spark, "packs")
+    shards = range(min(2, len(ds.meta["shards"]) - 1))
+    packs.warm(ds, root, 0, len(shards))
+    out = [packs.read_pack(ds, root, s).select("row", "col", "value") for s in shards]
+    return out[0].unionByName(out[1]) if len(out) > 1 else out[0]
+
+
+@query(f"""{WITH} SELECT 'orders' AS assay_id, "row" - 500 AS "row", col, value FROM T WHERE "row" >= 500 AND "row" < 900""")
+def assay_range(spark, d):
+    both = entries(spark, d).withColumn("assay_id", F.lit("orders")).unionByName(entries(spark, d).withColumn("assay_id", F.lit("other")))
+    return align.assay_range(both, "orders", 500, 400, n_rows(spark, d)).select(F.lit("orders").alias("assay_id"), "row", "col", "value")
+
+
+@query(f'{WITH}, N AS (SELECT count(*) // 2 AS n FROM orders) SELECT "row", col, value FROM T, N WHERE "row" >= n OR col >= 100')
+def bad_entries(spark, d):
+    """What lies outside a matrix of half as many rows and a hundred features."""
+    return validate.bad_entries(entries(spark, d), n_rows(spark, d) // 2, 100).select("row", "col", "value")
