@@ -164,10 +164,10 @@ def fit_on(docs: DataFrame, id="doc_id", text="text", lang="lang", sample: int =
     first = written(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).groupBy("lang", "id").agg(F.min("n").alias("n")), "sample")
     # At most sample x LANGUAGES ids: a bounded side. Of rows that share an id the text with the least hash is taken.
     found = base.join(F.broadcast(first), ["lang", "id"]).groupBy("lang", "n").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return _fit_in_tasks(written(found.select("lang", "text"), "labelled"), centroids, dims)
+    return _fit_in_tasks(written(found.select("lang", "text"), "labelled"), len(counts), centroids, dims)
 
 
-def _fit_in_tasks(labelled: DataFrame, centroids: int, dims: int) -> Centroids:
+def _fit_in_tasks(labelled: DataFrame, tasks: int, centroids: int, dims: int) -> Centroids:
     """fit() on (lang, text) rows, each language in one task; the driver gets sums and centroids, never texts.
 
     A task holds a language's letters, of at most SAMPLE texts; no text is cut.
@@ -194,8 +194,8 @@ def _fit_in_tasks(labelled: DataFrame, centroids: int, dims: int) -> Centroids:
             c, floors = _clustered([a for _, a in sorted(own, key=lambda x: x[0])], idf, centroids)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.tobytes()]), pa.array([floors], pa.list_(pa.float64()))], ["lang", "vectors", "floors"])
 
-    # A row for each task, of dims numbers, of at most as many tasks as there are languages.
-    by_language = labelled.repartition(LANGUAGES, "lang")
+    # A row for each task, of dims numbers, of as many tasks as there are languages.
+    by_language = labelled.repartition(tasks, "lang")
     sums = by_language.mapInArrow(counted, "seen binary, n bigint").collect()
     seen = np.sum([np.frombuffer(r.seen, np.int64) for r in sums], axis=0) if sums else np.zeros(dims)
     idf = _idf(seen, sum(r.n for r in sums))
