@@ -107,11 +107,13 @@ def frequent_pretokens(docs: DataFrame, text="text", most: int = FREQUENT) -> di
     def count(batches):
         counts: Counter = Counter()
         for batch in batches:
-            own: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                own.update(_RUN.findall(t or ""))
-            counts.update({t: n for t, n in own.items() if len(t) <= LONGEST})
-            counts = _halved(counts, COUNTED)
+                found = _RUN.findall(t or "")
+                if max(map(len, found), default=0) > LONGEST:
+                    found = [x for x in found if len(x) <= LONGEST]
+                counts.update(found)
+                if len(counts) > COUNTED:
+                    counts = _halved(counts, COUNTED)
         yield summary(TaskContext.get().partitionId(), counts)
 
     def merge(batches):
