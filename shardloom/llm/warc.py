@@ -215,7 +215,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_records(spark, path))
+    captures = assemble(written(read_records(spark, path), "warc-records"))  # assemble reads them twice
     id, r = F.col("metadata.fields")["page-id"].try_cast("bigint"), "response."
     rows = written(captures.select("capture_id", id.alias("page_id"), F.col(r + "type").alias("record_type"), F.col(r + "payload_digest").alias("payload_digest"), F.coalesce(r + "payload_bytes", F.col("metadata.fields")["payload-bytes"].cast("bigint")).alias("payload_bytes"), F.coalesce(r + "refers_to", "capture_id").alias("_to")), "captures")
     # A response refers to itself here, so that no null is a hot key.
