@@ -25,7 +25,7 @@ from .common import small_batches, table
 
 MAX_FILE = 64 << 20
 #: Bytes of a generation of a worker's cache, about, and characters of its longest key.
-CACHE_BYTES, LONGEST = 32 << 20, 128
+CACHE_BYTES, LONGEST = 64 << 20, 128
 #: What Unicode calls white space; Python's str.split() also splits at U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
 _NOT_SPACE = re.compile(f"[^{SPACE}]+")
