@@ -146,18 +146,23 @@ class WordBPE:
             parts = [x for x in self.special.split(word) if x]
             if len(parts) > 1 or parts[0] in self.added:
                 return b"".join(array("I", [self.added[x]]).tobytes() if x in self.added else self._word(x) for x in parts)
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-            word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
+        if word.isascii():
+            low = word.lower()
+            if low.isalpha():
+                return self._piece(low) if low == word else self.words[low]
         else:
-            word = word.lower()
-        if word.isalpha():
-            return self.pieces[word]
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in self.pattern.findall(word)])
+            low = unicodedata.normalize("NFC", word)
+            low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
+            if low.isalpha():
+                return self.pieces[low]
+        # Runs of a to z are words of their own, kept once.
+        whole, pieces = self.words, self.pieces
+        return b"".join([(whole if p.isascii() and p.isalpha() else pieces)[p] for p in self.pattern.findall(low)])
 
     def encode(self, text: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers."""
+        if text.isascii() and "<|" not in text:  # else special strings come first, and marks join letters before case goes
+            text = text.lower()
         return b"".join(map(self.words.__getitem__, words(text)))
 
     def decode(self, ids: bytes) -> str:

@@ -45,10 +45,13 @@ class LibraryWordBPE(WordBPE):
 
         super().__init__(data, most)
         self.model, self.alphabet = Tokenizer.from_buffer(data).model, dict(enumerate(byte_alphabet()))
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.strings))]
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if not (piece.isascii() and piece.isalnum()):  # those bytes stand for themselves
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(piece)])
 
 
 def lower_bound(lengths: dict[int, int], cap: int = CAP) -> int:
