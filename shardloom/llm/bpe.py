@@ -100,7 +100,7 @@ class WordBPE:
         self.added = added
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.pieces = Cache(self._piece, most)
+        self.pieces = Cache(self._piece, most // 4)  # words hold the runs of a to z
         self.words = Cache(self._word, most)
 
     def merge(self, symbols: list[int]) -> list[int]:
