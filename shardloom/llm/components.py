@@ -43,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK, LEAST_BLOCK, BLOCK_BYTES = 1024, 128, 32 << 20
 
 
-def block_pairs(members: DataFrame, most: int = BLOCK, size: int = BLOCK_BYTES) -> DataFrame:
+def block_pairs(members: DataFrame, most: int = BLOCK, size: int = BLOCK_BYTES, least: int = LEAST_BLOCK) -> DataFrame:
     """(node, label, block, i, j) for members (node, label, bytes): the pairs of blocks, i <= j, that hold a member's own.
 
     Every two members of a label meet at one pair (i, j): that of their blocks. A label is cut by a hash
@@ -51,7 +51,7 @@ def block_pairs(members: DataFrame, most: int = BLOCK, size: int = BLOCK_BYTES)
     moved a few times where a group is of middling size, and large groups don't become one task.
     """
     sizes = written(members.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_bytes")), "group-sizes")
-    each = F.greatest(F.lit(min(LEAST_BLOCK, most)), F.least(F.lit(most), 4 * F.sqrt("_n")))
+    each = F.greatest(F.lit(min(least, most)), F.least(F.lit(most), 4 * F.sqrt("_n")))
     n = F.ceil(F.greatest(F.col("_n") / each, F.col("_bytes") / size, F.lit(1.0))).cast("bigint")
     own = members.join(sizes, "label").select("node", "label", n.alias("_blocks"), F.pmod(F.xxhash64("node"), n).alias("block"))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))

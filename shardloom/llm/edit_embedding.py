@@ -5,12 +5,15 @@ stays, by a random bit that depends on j and that character only, until it has p
 bits are the same for all texts, so that texts a few edits apart soon walk in step again: edit distance
 becomes Hamming distance. A fingerprint samples the string at shared positions. Which ones depends on its
 length alone, and for two lengths most are the same, so that texts of different lengths compare too. Bands
-of randomly chosen samples then find candidates, which are compared on all samples.
+of randomly chosen samples then find candidates, all that there are for the threshold, which are compared
+on all samples.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +26,10 @@ from .common import BROADCAST_ROWS, small_batches, table, written
 from .components import BLOCK, block_pairs, components
 from .hashing import mix
 
-#: Samples of a fingerprint, a byte each; bands, and samples of a band; period of the random bits; seed of all.
-SAMPLES, BANDS, BAND, PERIOD, SEED = 128, 32, 8, 1024, 20240229
+#: Samples of a fingerprint, a byte each; period of the random bits; seed of all.
+SAMPLES, PERIOD, SEED = 128, 1024, 20240229
+#: Unequal samples that a band bears, at most, and its parts.
+BEARS, PARTS = 2, 5
 #: Share of equal samples from which two fingerprints are near.
 LEAST = 0.8
 _BLOCK, _FEW = 256, 16
@@ -68,11 +73,28 @@ def _events() -> tuple[np.ndarray, np.ndarray]:
     return step[order], sample[order]
 
 
-@lru_cache(1)
-def _band_samples() -> np.ndarray:
-    """BANDS x BAND samples, those of a band distinct."""
+@lru_cache(8)
+def _bands(least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(samples in the order of the parts of bands, an odd factor for each, starts of parts, parts x keys: which a key has).
+
+    Two fingerprints that are near differ in `differ` samples at most. Bands are disjoint, and those that
+    they bear, plus one each, add up to differ + 1: so one band at least has no more than it bears. These
+    lie in as many of its parts at most, and one of its keys leaves those out.
+    """
     rng = np.random.default_rng(SEED + 2)
-    return np.stack([rng.choice(SAMPLES, BAND, replace=False) for _ in range(BANDS)])
+    order, factors = rng.permutation(SAMPLES), rng.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+    units = min(max(SAMPLES - math.ceil(least * SAMPLES - 1e-9), 0), SAMPLES) + 1
+    starts, kept = [], []
+    for a in range(0, units, BEARS + 1):
+        b = min(a + BEARS + 1, units)
+        at, end = SAMPLES * a // units, SAMPLES * b // units
+        n = min(PARTS, end - at)
+        kept += [[len(starts) + k for k in c] for c in itertools.combinations(range(n), max(0, n - (b - a - 1)))]
+        starts += [at + (end - at) * k // n for k in range(n)]
+    has = np.zeros((len(starts), len(kept)), np.uint64)
+    for i, parts in enumerate(kept):
+        has[parts, i] = 1
+    return order, factors, np.array(starts), has
 
 
 def _classes(text: str) -> np.ndarray:
@@ -244,86 +266,129 @@ def fingerprint_documents(docs: DataFrame, id="doc_id", text="text", least: floa
     return rows.select(F.col("_id").alias(id), "n_chars", hexed("_sha").alias("edited_sha256"), hexed("_f").alias("fingerprint"), hexed("_g").alias("edited_fingerprint"), "near_edited", "near_next", own("rep_id"), own("class_id"), F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"))
 
 
-def band_keys(prints: np.ndarray) -> np.ndarray:
-    """prints x BANDS numbers, of which two fingerprints share one if they agree in all samples of a band."""
-    own = np.ascontiguousarray(prints[:, _band_samples()]).view(np.uint64)[:, :, 0]
-    return mix(own + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def band_keys(prints: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """prints x keys numbers, of which any two fingerprints share one that are near; what else shares one is verified."""
+    order, factors, starts, has = _bands(least)
+    parts = np.add.reduceat(prints[:, order] * factors, starts, axis=1)
+    return mix(parts @ has + np.arange(has.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+#: Pairs up to which a bucket is compared at once. The least members of a block: a pair costs 128 bytes' comparison only.
+_SMALL, _LEAST_BLOCK = 1024, 512
+
+
+def _near(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which fingerprints of left and right are near."""
+    if len(left) * len(right) <= _SMALL:
+        same = np.count_nonzero(left[:, None] == right[None], axis=2)
+    else:
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for a, b in zip(left.T, right.T, strict=True):
+            same += (a[:, None] == b[None]).view(np.uint8)
+    return same >= least * SAMPLES - 1e-9
 
 
-def _near(left: np.ndarray, right: np.ndarray, band: int, least: float) -> np.ndarray:
-    """Which fingerprints of left and right are near, and share no band before that one."""
-    same = np.zeros((len(left), len(right)), np.int16)
+def _met(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of left and right have a key in common, at the same place."""
+    if len(left) * len(right) <= _SMALL:
+        return (left[:, None] == right[None]).any(axis=2)
+    met = np.zeros((len(left), len(right)), bool)
     for a, b in zip(left.T, right.T, strict=True):
-        same += a[:, None] == b[None]
-    near = same >= least * SAMPLES - 1e-9
-    if band and near.any():
-        for a, b in zip(band_keys(left)[:, :band].T, band_keys(right)[:, :band].T, strict=True):
-            near &= a[:, None] != b[None]
-    return near
+        met |= a[:, None] == b[None]
+    return met
+
+
+def _least_linked(near: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The least row that each is linked to by near ones, directly or through others, or itself."""
+    to, todo = rows.copy(), near.any(axis=1)
+    while todo.any():
+        front, group = np.array([todo.argmax()]), np.zeros(len(rows), bool)
+        group[front] = True
+        while len(front):
+            new = near[front].any(axis=0) & ~group
+            group |= new
+            front = np.flatnonzero(new)
+        to[group] = rows[group].min()
+        todo &= ~group
+    return to
 
 
 def _linked(key, band: int, own: np.ndarray, prints: np.ndarray, copies: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(copies of near ones, least row among them and itself) for the members of a bucket, or of two of its blocks."""
+    """(copies of near ones, least row linked) for the members of a bucket, or of two of its blocks.
+
+    Pairs that share a key before that one are left out.
+    """
     left = np.flatnonzero(own == key[1])
     right = left if key[1] == key[2] else np.flatnonzero(own != key[1])
-    n, to = np.zeros(len(rows), np.int64), rows.copy()
+    linked, keys = np.zeros((len(rows), len(rows)), bool), None
     for k in range(0, len(left), 128):
         some = left[k : k + 128]
-        near = _near(prints[some], prints[right], band, least)
+        near = _near(prints[some], prints[right], least)
         if right is left:
             near[np.arange(len(some)), np.arange(k, k + len(some))] = False
-        n[some] += near @ copies[right]
-        to[some] = np.minimum(to[some], np.where(near, rows[right], rows[some, None]).min(axis=1, initial=1 << 62))
+        if band and near.any():
+            keys = band_keys(prints, least)[:, :band] if keys is None else keys
+            near &= ~_met(keys[some], keys[right])
+        linked[np.ix_(some, right)] = near
         if right is not left:
-            n[right] += copies[some] @ near
-            to[right] = np.minimum(to[right], np.where(near.T, rows[some], rows[right, None]).min(axis=1, initial=1 << 62))
-    return n, to
+            linked[np.ix_(right, some)] = near.T
+    return linked @ copies, _least_linked(linked, rows)
 
 
 def near_documents(prints: DataFrame, id="doc_id", fingerprint="fingerprint", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per distinct fingerprint: fingerprint, rep_id, class_id, n_near.
 
     prints: id, and fingerprint in binary. Two rows are near if at least that share of their samples is
-    equal; candidates are those that agree in all samples of one of BANDS bands, and each pair is compared
-    once, in the first band that it shares. n_near counts the other rows that are near, equal ones too;
+    equal; candidates are those that share one of band_keys(), as all near pairs do, and each pair counts
+    once, at the first key that it shares. n_near counts the other rows that are near, equal ones too;
     rep_id is the least id of the rows with that fingerprint, and class_id the least of all that are
     linked to it, directly or through others (null if they have null ids only). Null fingerprints are left
-    out. Buckets of a band are cut into blocks, so that none becomes one task; no pair is emitted.
+    out. Buckets of a key are cut into blocks, so that none becomes one task; no pair is emitted.
     """
     one = prints.select(F.col(id).alias("_i"), F.col(fingerprint).alias("_f")).filter("_f is not null").groupBy("_f").agg(F.min("_i").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
     one = written(one.withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
 
     def explode(batches):
         for batch in batches:
-            keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SAMPLES))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(keys.reshape(-1))], ["_row", "_band", "_key"])
+            keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SAMPLES), least)
+            n = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(keys.reshape(-1))], ["_row", "_band", "_key"])
 
     keyed = one.select("_row", "_f").mapInArrow(explode, "_row bigint, _band int, _key bigint")
     shared = written(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_key").alias("_of")), "shared-bands")
     members = written(keyed.join(shared, F.col("_key") == F.col("_of")).select("_row", "_band", F.col("_key").alias("label")), "band-members")
-    pairs = block_pairs(members.select(F.struct("_row", "_band").alias("node"), "label", F.lit(SAMPLES).alias("bytes")), block)
+    pairs = block_pairs(members.select(F.struct("_row", "_band").alias("node"), "label", F.lit(SAMPLES).alias("bytes")), block, least=_LEAST_BLOCK)
     work = one.select("_row", "_copies", "_f").join(pairs.select("node._row", "node._band", "label", "block", "i", "j"), "_row")
     work = work.select("label", "i", "j", "_band", "block", "_row", "_copies", "_f").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "_band")
 
     def verify(batches):
-        key, members = None, []
+        key, members, ready = None, [], []
 
-        def out():
+        def verified():
             own, rows, copies = (np.array([m[c] for m in members], np.int64) for c in (0, 1, 2))
-            found = np.frombuffer(b"".join([m[3] for m in members]), np.uint8).reshape(-1, SAMPLES)
-            n, to = _linked(key, key[3], own, found, copies, rows, least)
+            prints_ = np.frombuffer(b"".join([m[3] for m in members]), np.uint8).reshape(-1, SAMPLES)
+            n, to = _linked(key, key[3], own, prints_, copies, rows, least)
             near = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(rows[near]), pa.array(n[near]), pa.array(to[near])], ["_row", "n", "to"])
+            if len(near):
+                ready.append((rows[near], n[near], to[near]))
+
+        def out():
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*ready, strict=True)], ["_row", "n", "to"])
+            ready.clear()
 
         for batch in batches:
             for *k, own, row, copies, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key and members:
-                    yield out()
+                    verified()
                     members = []
+                    if len(ready) >= 1024:
+                        yield from out()
                 key = k
                 members.append((own, row, copies, f))
         if members:
-            yield out()
+            verified()
+        if ready:
+            yield from out()
 
     found = work.mapInArrow(verify, "_row bigint, n bigint, to bigint")
     found = written(found.groupBy("_row").agg(F.sum("n").alias("n"), F.collect_set("to").alias("to")), "near")

@@ -172,3 +172,41 @@ def test_near_documents_behind_a_template(spark):
             want[i] = (want[i][0], want[i][1] + 1)
         assert got == want
     assert E.near_documents(prints.limit(0)).count() == 0
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Pairs that differ in as many samples as near ones may, and some in one more."""
+    rng = np.random.default_rng(12)
+    p = np.repeat(rng.integers(1, 256, (4000, E.SAMPLES), np.uint8), 2, axis=0)
+    for k in range(1, len(p), 2):
+        p[k, rng.permutation(E.SAMPLES)[: 25 + (k % 30 == 1)]] ^= 255
+    prints = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(p)], "doc_id bigint, fingerprint binary")
+    got = {r.rep_id: (r.class_id, r.n_near) for r in E.near_documents(prints).collect()}
+    lost = [i for i in range(len(p)) if got.get(i) != ((i, 0) if i // 2 % 15 == 0 else (i - i % 2, 1))]
+    assert not lost and len(got) == len(p)
+
+
+def test_no_link_of_a_bucket_is_lost():
+    """A chain whose rows are in any order: 6 is near 2 and 4, and 4 near no other; 9 and 3 meet through 8 and 7."""
+    rows = np.array([2, 6, 4, 3, 7, 8, 9, 1], np.int64)
+    rng = np.random.default_rng(14)
+    p = rng.integers(1, 256, (len(rows), E.SAMPLES), np.uint8)
+    for group in ((0, 1, 2), (3, 5, 4, 6)):
+        for k, (a, b) in enumerate(itertools.pairwise(group)):
+            p[b] = p[a]
+            p[b, 20 * k : 20 * k + 20] ^= 255
+    n, to = E._linked((0, 0, 0), 0, np.zeros(len(rows)), p, np.ones(len(rows), np.int64), rows, 0.8)
+    assert n.tolist() == [1, 2, 1, 1, 2, 2, 1, 0] and to.tolist() == [2, 2, 2, 3, 3, 3, 3, 1]
+
+
+def test_near_pairs_share_a_key():
+    """Whatever the threshold, and wherever the unequal samples are."""
+    rng = np.random.default_rng(13)
+    for least in (0.0, 0.3, 0.5, 0.77, 0.8, 0.95, 1.0):
+        differ = int(E.SAMPLES * (1 - least) + 1e-9)
+        a = rng.integers(0, 256, (400, E.SAMPLES), np.uint8)
+        b, order = a.copy(), E._bands(least)[0]
+        for k, row in enumerate(b):
+            at = rng.permutation(E.SAMPLES)[:differ] if k % 2 else order[np.linspace(0, E.SAMPLES - 1, differ).astype(int) if differ else []]
+            row[at] ^= 1
+        assert (E.band_keys(a, least) == E.band_keys(b, least)).any(axis=1).all()
